@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # One module for each operator; a module's QUERY is (name, function), its
 # ORACLE_SQL the same in DuckDB's SQL, or None.
-MODULES = ["op1", "op4", "op6", "op7", "op8", "op9"]
+MODULES = ["op1", "op3", "op4", "op6", "op7", "op8", "op9"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
