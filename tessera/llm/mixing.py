@@ -57,11 +57,11 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
 def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (``doc_id`` by default), ``size`` (words), ``source_size``, ``target`` and ``copies`` of every row.
 
-    Defined results: a null text has no words and adds nothing; a null source is
+    Columns of these names are not carried.  Defined results: a null text has no words and adds nothing; a null source is
     a source of its own; a source without words has target 0; ties of the hash
     (repeated ids) are ordered by id and size; an empty table gives an empty one.
     """
-    carry = [doc_id] if carry is None else carry
+    carry = [c for c in ([doc_id] if carry is None else carry) if c not in ("size", "source_size", "target", "copies")]
     rows = written(docs.select(
         *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)), F.col(f"`{doc_id}`").alias("_id"),
         F.col(f"`{source}`").alias("_source"), words_of(F.col(f"`{text}`")).alias("_size"), uniform(F.col(f"`{doc_id}`")).alias("_u"),
