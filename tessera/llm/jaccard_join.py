@@ -149,6 +149,20 @@ def shared_shingles(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
             yield flush()
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> list[tuple[int, bytes]]:
+            h, k, s, df = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            to = mix(k.astype(np.uint64))
+            order = np.lexsort((h, s, k, to))
+            h, k, s, df, to = h[order], k[order], s[order], df[order], to[order]
+            out = []
+            for shard, at in cut(to, bits):
+                first = np.flatnonzero(np.append(True, (k[at][1:] != k[at][:-1]) | (s[at][1:] != s[at][:-1])))
+                out.append((shard, pack(k[at][first], s[at][first], np.diff(np.append(first, len(k[at]))).astype(np.uint32), h[at], df[at])))
+            return out
+
         for _, blobs in by_shard(batches):
             h = np.concatenate([b[0] for b in blobs])
             k = np.concatenate([b[2][b[1]] for b in blobs])
@@ -160,17 +174,12 @@ def shared_shingles(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
             h, k, s = h[new], k[new], s[new]
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
-            # Every class that comes by is told on: one without shared shingles here sends nothing.
-            some = df > 1
-            h, k, s, df = h[some], k[some], s[some], df[some]
-            to = mix(k.astype(np.uint64))
-            order = np.lexsort((h, k, to))
-            h, k, s, df, to = h[order], k[order], s[order], df[order], to[order]
-            out = []
-            for shard, at in cut(to, bits):
-                first = np.flatnonzero(np.append(True, (k[at][1:] != k[at][:-1]) | (s[at][1:] != s[at][:-1])))
-                out.append((shard, pack(k[at][first], s[at][first], np.diff(np.append(first, len(k[at]))).astype(np.uint32), h[at], df[at].astype(np.uint32))))
-            yield out
+            some = df > 1  # a shingle of one class only is nobody's partner
+            held.append((h[some], k[some], s[some], df[some].astype(np.uint32)))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_shard(batches):

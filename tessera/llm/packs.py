@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: Entries that a task gathers before it sends them.
-FLUSH = 1_500_000
+FLUSH = 1_200_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -51,8 +51,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def bits_for(partitions: int) -> int:
-    """Bits of the hash that name a shard: four to eight shards for each partition."""
-    return max(2, (4 * partitions - 1).bit_length())
+    """Bits of the hash that name a shard: two to four shards for each partition."""
+    return max(2, (2 * partitions - 1).bit_length())
 
 
 def cut(hashes: np.ndarray, bits: int) -> list[tuple[int, slice]]:
