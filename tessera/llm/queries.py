@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # One module for each operator; a module's QUERY is (name, function), its
 # ORACLE_SQL the same in DuckDB's SQL, or None.
-MODULES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9"]
+MODULES = [f"op{n}" for n in range(1, 11)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
