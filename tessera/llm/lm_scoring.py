@@ -11,8 +11,8 @@ however large the corpus, so the automaton can be sent to every task.
 A text is traversed once from left to right; a state carries all that matters of
 the past, so long texts are cut into pieces that start in the state their
 predecessor ends in, and many pieces advance together.  Only the words that are
-too rare for a state leave the task: their counts meet their occurrences in
-hash shards, and sums go back to the texts.
+too rare for a state leave the task: each group of texts asks the hash shards
+for the counts of its rare words, and adds the answers up by itself.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -290,79 +291,83 @@ def score_documents(docs: DataFrame) -> DataFrame:
     automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(hot, hot_count, key, count, n, v, int(hot_count[at]) if at >= 0 else 1))
     log_all = float(np.log10(n + 0.5 * (v + 1)))
     kind = docs.schema["doc_id"].dataType
-    fields = [("shard", T.IntegerType()), ("blob", T.BinaryType()), ("doc_id", kind), ("uid", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
-    schema = T.StructType([T.StructField(*f) for f in fields])
+    schema = T.StructType([T.StructField(*f) for f in [("flush", T.LongType()), ("shard", T.IntegerType()), ("blob", T.BinaryType()), ("ids", T.ArrayType(kind))]])
+    names = [f.name for f in schema]
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and blobs of the rare words' (hash, text) for the shards."""
+        """For each group of texts their own row (shard -1), and a row for each shard with the rare words to ask for."""
         model = automaton.value
-        hashes: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
-
-        def flush(of: pa.DataType) -> pa.RecordBatch:
-            h, u = np.concatenate(hashes), np.concatenate(owner)
-            hashes.clear()
-            owner.clear()
-            used, place = np.unique(u, return_inverse=True)
-            order = np.lexsort((place, h))
-            h, place = h[order], place[order].astype(np.uint32)
-            rows = []
-            for s, at in cut(h, bits):
-                x, c = np.unique(h[at], return_counts=True)
-                mine, p = np.unique(place[at], return_inverse=True)
-                rows.append((s, pack(x, c.astype(np.uint32), p.astype(np.uint32), used[mine])))
+        task = TaskContext.get().partitionId()
+        texts: list[tuple[pa.Array, list[np.ndarray]]] = []
+        rare: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        groups = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal groups
+            ids = pa.concat_arrays([t[0] for t in texts])
+            words, place = np.unique(np.concatenate(rare), return_inverse=True)
+            own = pack(*(np.concatenate(x) for x in zip(*(t[1] for t in texts))), place.astype(np.uint32), np.concatenate(times).astype(np.uint32))
+            rows = [(-1, own), *((s, pack(words[at])) for s, at in cut(words, bits))]
             m = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.nulls(m, of), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], [f[0] for f in fields])
+            lists = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * m], pa.int32()), ids)
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + groups] * m, pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), lists], names)
+            groups += 1
+            for x in (texts, rare, times):
+                x.clear()
+            return out
 
-        of = None
         for ids, out, h, first, w in _slices(batches):
-            of = ids.type
-            rows = len(ids)
             word = _places(model.hot, h)
-            row = np.repeat(np.arange(rows), np.diff(first))
+            row = np.repeat(np.arange(len(ids)), np.diff(first))
             known = word >= 0
-            # Equal rows share a uid, which is from the id and all tokens with their places.
-            place = (np.arange(len(h)) - first[row]).astype(np.uint64)
-            sums = np.add.reduceat(mix(h + mix(place)), first[:-1]) if rows else np.zeros(0, np.uint64)
-            uid = mix(sums ^ np.array([zlib.crc32(str(i).encode()) for i in ids.to_pylist()], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            base = np.bincount(row[known], model.root[word[known]], rows) if len(model.hot) else np.zeros(rows)
-            score = model.traverse(word, first)
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), ids, pa.array(uid), pa.array(out), pa.array(np.diff(first)), pa.array(np.bincount(row[known], minlength=rows)), pa.array(base), pa.array(score)], [f[0] for f in fields])
-            hashes.append(h[~known])
-            owner.append(uid[row[~known]])
-            if sum(map(len, hashes)) >= FLUSH:
-                yield flush(of)
-        if hashes and sum(map(len, hashes)):
-            yield flush(of)
+            base = np.bincount(row[known], model.root[word[known]], len(ids)) if len(model.hot) else np.zeros(len(ids))
+            texts.append((ids, [out.astype(np.uint8), np.diff(first).astype(np.int64), np.bincount(row[known], minlength=len(ids)), base, model.traverse(word, first)]))
+            rare.append(h[~known])
+            times.append(np.bincount(row[~known], minlength=len(ids)))
+            if sum(map(len, rare)) >= FLUSH:
+                yield flush()
+        if texts:
+            yield flush()
 
     both = written(docs.mapInArrow(traverse, schema))
-    rows = both.filter("shard IS NULL")
-    meet = counts.select("shard", "blob").unionByName(both.filter("shard IS NOT NULL").select("shard", "blob")).repartition(parts, "shard")
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the rare words of each text in the shards of a partition."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            u, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            out = [pa.array(u), pa.array(np.bincount(at, np.concatenate([x[1] for x in held]), len(u))), pa.array(np.bincount(at, np.concatenate([x[2] for x in held]), len(u)).astype(np.int64))]
-            held.clear()
-            return pa.RecordBatch.from_arrays(out, ["uid", "lp", "k"])
+    asked = counts.select(F.lit(None).cast("bigint").alias("flush"), "shard", "blob").unionByName(both.filter("shard >= 0").select("flush", "shard", "blob"))
 
-        for _, blobs in by_shard(batches):
-            h, c = ([b for b in blobs if len(b) == 2] or [[np.zeros(0, np.uint64), np.zeros(0, np.int64)]])[0]
-            for x, times, place, uid in (b for b in blobs if len(b) == 4):
-                at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
-                n_of = np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)
-                lp = np.repeat(np.log10(n_of + 0.5) - log_all, times)
-                held.append((uid, np.bincount(place, lp, len(uid)), np.bincount(place, np.repeat(n_of > 0, times), len(uid))))
-                if sum(len(y[0]) for y in held) >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
-
-    sums = meet.mapInArrow(rare, "uid bigint, lp double, k bigint").groupBy("uid").agg(F.sum("lp").alias("lp"), F.sum("k").alias("k"))
-    times = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
-    x = rows.join(times.join(sums, "uid"), "uid", "left")
-    lp, k = F.coalesce(F.col("lp") / F.col("times"), F.lit(0.0)), F.coalesce((F.col("k") / F.col("times")).cast("long"), F.lit(0))
-    return x.select("doc_id", "held_out", "n_tokens", (F.col("known") + k).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + lp).alias("base_score"), (F.col("score") + lp).alias("score"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The training count of each word that a group of texts asked for, in its order."""
+        held: dict[int, list[tuple[int | None, bytes]]] = {}
+        for b in batches:
+            for f, s, x in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(s, []).append((f, x))
+        for s in sorted(held):
+            rows = held.pop(s)
+            h, c = next((unpack(x) for f, x in rows if f is None), (np.zeros(1, np.uint64), np.zeros(1, np.int64)))
+            for f, x in rows:
+                if f is not None:
+                    q = unpack(x)[0]
+                    at = np.minimum(np.searchsorted(h, q), len(h) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([s], pa.int32()), pa.array([pack(np.where(h[at] == q, c[at], 0).astype(np.uint32))], pa.binary())], names[:3])
+
+    answers = asked.repartition(parts, "shard").mapInArrow(answer, "flush bigint, shard int, blob binary")
+    meet = answers.withColumn("ids", F.lit(None).cast(schema["ids"].dataType)).unionByName(both.filter("shard < 0")).repartition(parts, "flush")
+    of_text = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each group's sums with those over its rare words."""
+        own: dict[int, tuple[bytes, pa.Array]] = {}
+        counted: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for i, (f, s, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                if s < 0:
+                    own[f] = (x, b.column(3)[i].values)
+                else:
+                    counted.setdefault(f, []).append((s, x))
+        for f in sorted(own):
+            x, ids = own.pop(f)
+            out, tokens, known, base, score, place, times = unpack(x)
+            c = np.concatenate([unpack(y)[0] for _, y in sorted(counted.pop(f, []), key=lambda y: y[0])] + [np.zeros(0, np.uint32)])[place].astype(np.int64)
+            row = np.repeat(np.arange(len(times)), times)
+            lp = np.bincount(row, np.log10(c + 0.5) - log_all, len(times))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(tokens), pa.array(known + np.bincount(row, c > 0, len(times)).astype(np.int64)), pa.array(base + lp), pa.array(score + lp)], of_text.names)
+
+    return meet.mapInArrow(finish, of_text).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
