@@ -62,6 +62,10 @@ class FMIndex:
             rank = self._join(rank, ranks[size], done)
             done += size
         self.places = np.argsort(rank, kind="stable")
+        ordered = rank[self.places]
+        edge = np.append(True, ordered[1:] != ordered[:-1]) if n else np.zeros(0, bool)
+        # First place of the suffixes that agree with each on ``depth`` symbols.
+        self.group = np.maximum.accumulate(np.where(edge, np.arange(n), 0)).astype(np.int32)
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.wavelet = Wavelet(text[self.places - 1] if n else text, symbols)
         self.size = n
@@ -81,3 +85,17 @@ class FMIndex:
             both = self.count[np.concatenate([c, c])] + self.wavelet.rank(np.concatenate([c, c]), np.concatenate([low, high]))
             low, high = both[:m], both[m:]
         return low, high
+
+    def slide(self, low: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """From the intervals of patterns of full depth to those of the patterns one place to the left.
+
+        One backward step prepends the symbol; going to the first suffix that
+        agrees on ``depth`` symbols drops the last one.  The pattern has to
+        occur in the text.
+        """
+        return self.group[self.count[symbol] + self.wavelet.rank(symbol, low)].astype(np.int64)
+
+    def ends(self, low: np.ndarray) -> np.ndarray:
+        """Where intervals of full depth that begin at ``low`` end."""
+        starts = np.unique(self.group)
+        return np.append(starts[1:], self.size)[np.searchsorted(starts, low)]

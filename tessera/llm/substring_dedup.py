@@ -131,6 +131,16 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
+def _merged(uid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of a row that adjoin as one."""
+    order = np.lexsort((b, a, uid))
+    uid, a, b = uid[order], a[order], b[order]
+    if not len(uid):
+        return uid, a, b
+    new = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (a[1:] != b[:-1])))
+    return uid[new], a[new], b[np.append(new[1:], len(uid)) - 1]
+
+
 def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, start, end) of the windows, joined where they adjoin, that occur earlier; ``end`` is behind the last start."""
     words = np.unique(np.concatenate([b[2] for b in blobs]))
@@ -167,18 +177,21 @@ def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarr
     value = np.full(len(text), len(at), np.int64)
     value[at] = rank
     by_suffix = value[index.places]
-    low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for a in range(0, len(at), 100_000):
-        part = at[a : a + 100_000]
-        low[a : a + 100_000], high[a : a + 100_000] = index.search(text[part[:, None] + np.arange(n)])
+    # Matching statistics from the right: a full backward search for each passage's last window, then a step for each one before.
+    low = np.zeros(len(at), np.int64)
+    w_first = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    behind = w_first + windows - 1
+    for a in range(0, len(behind), 50_000):
+        part = behind[a : a + 50_000]
+        low[part], _ = index.search(text[at[part][:, None] + np.arange(n)])
+    while len(behind := behind[behind > w_first[w_owner[behind]]]):
+        low[behind - 1] = index.slide(low[behind], text[at[behind - 1]])
+        behind = behind - 1
     some, back = np.unique(low, return_inverse=True)
-    end = np.zeros(len(some), np.int64)
-    end[back] = high
-    cuts = np.stack([some, np.minimum(end, len(by_suffix))], axis=1).ravel()
+    cuts = np.stack([some, index.ends(some)], axis=1).ravel()
     least_of = np.minimum.reduceat(np.append(by_suffix, len(at)), cuts)[::2][back] if len(some) else np.zeros(0, np.int64)
     # Every passage against the earliest occurrence of each of its windows.
     per = size - n + 1
-    w_first = np.concatenate([[0], np.cumsum(windows)[:-1]])
     mine = _ragged(w_first[of], per)
     row = np.repeat(np.arange(len(size)), per)
     my_start = start[row] + (mine - w_first[of[row]])
@@ -193,7 +206,7 @@ def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarr
 def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
     """(uid, a, b): windows starting at the words a to b - 1 of the row occur earlier."""
     parts = partitions_for(docs)
-    bits = bits_for(parts)
+    bits = bits_for(2 * parts)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(_repeated(docs, n, k, parts, bits))
 
@@ -215,9 +228,9 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_W
             new = np.append(True, (key[1:] != key[:-1]) | (route[1:] != route[:-1]))
             lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(key))))
             again = (ids != ids[lead]) | (uid != uid[lead]) | (start != start[lead])
-            m = int(again.sum())
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(uid[again]), pa.array(start[again]), pa.array((start + size - n + 1)[again])], ["shard", "blob", "uid", "a", "b"])
+            u, a, b = _merged(uid[again], start[again], (start + size - n + 1)[again])
+            if m := len(u):
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(u), pa.array(a), pa.array(b)], ["shard", "blob", "uid", "a", "b"])
             start, size, route, ids, uid, word_at = (x[new] for x in (start, size, route, ids, uid, word_at))
             rows = []
             for s, at in cut(route, bits):
@@ -258,7 +271,7 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_W
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_shard(batches):
-            u, a, b = _search(blobs, n)
+            u, a, b = _merged(*_search(blobs, n))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(a), pa.array(b)], ["uid", "a", "b"])
 
