@@ -34,6 +34,9 @@ ANCHOR_WORDS = 8
 #: sending passages that don't repeat; too small, it lets more of them pass.
 FILTER_BITS = 27
 HOT_SHARE = 2.0**-16
+#: A shard is indexed in parts, by further bits of the anchor, of about so many words.
+PART_WORDS = 150_000
+FINER_BITS = 12
 HOT_LEAST = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -141,11 +144,27 @@ def _merged(uid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return uid[new], a[new], b[np.append(new[1:], len(uid)) - 1]
 
 
+def _parts(blobs: list[list[np.ndarray]]) -> Iterator[list[list[np.ndarray]]]:
+    """The passages of a shard in parts of bounded size; equal windows are in one part."""
+    words = sum(int(b[0].sum(dtype=np.int64)) for b in blobs)
+    bits = min(FINER_BITS, max(0, (words // PART_WORDS).bit_length()))
+    cuts = [np.searchsorted(b[6], np.arange((1 << bits) + 1) << (FINER_BITS - bits)) for b in blobs]
+    firsts = [np.concatenate([[0], np.cumsum(b[0], dtype=np.int64)]) for b in blobs]
+    for k in range(1 << bits):
+        part = []
+        for b, c, f in zip(blobs, cuts, firsts):
+            at, to = int(c[k]), int(c[k + 1])
+            if to > at:
+                part.append([b[0][at:to], b[1][f[at] : f[to]], b[2], b[3][at:to], b[4][at:to], b[5][at:to]])
+        if part:
+            yield part
+
+
 def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, start, end) of the windows, joined where they adjoin, that occur earlier; ``end`` is behind the last start."""
-    words = np.unique(np.concatenate([b[2] for b in blobs]))
+    words = np.unique(np.concatenate([b[2][np.unique(b[1])] for b in blobs]))
     size = np.concatenate([b[0] for b in blobs]).astype(np.int64)
-    symbol = np.concatenate([np.searchsorted(words, b[2])[b[1]] for b in blobs]) + 1
+    symbol = np.concatenate([np.searchsorted(words, b[2][b[1]]) for b in blobs]) + 1
     start, ids, uid = np.concatenate([b[3] for b in blobs]).astype(np.int64), np.concatenate([b[4] for b in blobs]), np.concatenate([b[5] for b in blobs])
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     # Equal passages from different tasks are indexed once.
@@ -235,7 +254,8 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_W
             rows = []
             for s, at in cut(route, bits):
                 some, place = np.unique(words[_ragged(word_at[at], size[at])], return_inverse=True)
-                rows.append((s, pack(size[at].astype(np.uint16), place.astype(np.uint32), some, start[at].astype(np.uint32), ids[at], uid[at])))
+                finer = (route[at] >> np.uint64(64 - bits - FINER_BITS)) & np.uint64((1 << FINER_BITS) - 1)
+                rows.append((s, pack(size[at].astype(np.uint16), place.astype(np.uint32), some, start[at].astype(np.uint32), ids[at], uid[at], finer.astype(np.uint16))))
             for a in range(0, len(rows), 256):
                 part = rows[a : a + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary()), *(pa.nulls(len(part), pa.int64()) for _ in range(3))], ["shard", "blob", "uid", "a", "b"])
@@ -271,9 +291,10 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_W
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_shard(batches):
-            u, a, b = _merged(*_search(blobs, n))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(a), pa.array(b)], ["uid", "a", "b"])
+            for part in _parts(blobs):
+                u, a, b = _merged(*_search(part, n))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(a), pa.array(b)], ["uid", "a", "b"])
 
     found = both.filter("shard IS NOT NULL").select("shard", "blob").repartition(parts, "shard").mapInArrow(search, "uid bigint, a bigint, b bigint")
     return found.unionByName(both.filter("shard IS NULL").select("uid", "a", "b"))
