@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import Words, grams, slices
 
 SEED_WORDS = 3
@@ -195,6 +196,7 @@ def matches(w: Words, items: Items) -> list[tuple[int, int, int]]:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    small_batches(benchmark.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for k in range(n):

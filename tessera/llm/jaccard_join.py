@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packs import FLUSH, bits_for, by_shard, cut, pack, send
-from .shared import partitions_for, written
+from .shared import partitions_for, small_batches, written
 from .words import Words, grams, mix, slices
 
 SHINGLE_WORDS = 5
@@ -291,6 +291,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     linked with nothing; repeated rows are linked with each other; rows without
     an id have a null component of their own; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     classes = written(set_classes(docs, n))
     roots = links(written(shared_shingles(docs, n, percent)), percent)
     some = classes.filter(F.col("k").isNotNull())

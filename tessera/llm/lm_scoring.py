@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packs import FLUSH, bits_for, by_shard, cut, pack, send, unpack
-from .shared import partitions_for, written
+from .shared import partitions_for, small_batches, written
 from .words import Words, mix, slices
 
 #: Words of at least this share of the training tokens have a state and arcs.
@@ -280,6 +280,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     the root is 1; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     parts = partitions_for(docs)
     bits = bits_for(parts)
     counts = _word_counts(docs, parts, bits)

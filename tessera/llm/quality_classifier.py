@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Additive, fit_additive
 from .quality_rules import STOP_WORDS
+from .shared import small_batches
 from .words import Words, grams, slices
 
 #: Labelled rows that the model is fitted to, at most: those whose ids hash lowest.
@@ -149,5 +150,6 @@ def classify(docs: DataFrame, model: Additive) -> DataFrame:
     Defined results: null and empty texts get the score of a text without words;
     repeated rows get the same score; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     out = docs.withColumn("score", score_column(F.col("text"), model))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

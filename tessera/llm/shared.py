@@ -33,6 +33,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000.
+
+    Texts are long, and a batch is held several times over in each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def partitions_for(df: DataFrame, each_bytes: int = 32 << 20) -> int:
     """Shuffle partitions: the session's number, or more if the input would give each over ``each_bytes``."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .packs import FLUSH, bits_for, by_shard, cut, pack, send, unpack
-from .shared import partitions_for, written
+from .shared import partitions_for, small_batches, written
 from .words import Words, mix, slices
 
 WINDOW_WORDS = 20
@@ -309,6 +309,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     one is taken as earlier; null ids come last; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     gaps = repeated_intervals(docs, n, k).groupBy("uid").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     @F.arrow_udf("bigint")
