@@ -80,6 +80,8 @@ def text_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None
     stops = ", ".join("'" + w + "'" for w in dict.fromkeys([*STOP_WORDS, *map(str.capitalize, STOP_WORDS)]))
     keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     held = [f"_c{i}" for i in range(len(carry))]
+    # Always 0, but not foldable: a filter on the result isn't copied into the projections below, where each use would split the text again.
+    zero = "CAST(floor(rand(0)) AS BIGINT)"
     x = docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     x = x.selectExpr(
         *held, "_t",
@@ -91,10 +93,10 @@ def text_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None
     x = x.selectExpr(*held, "_t", "_w", "_l", "_n", "filter(_s, (x, k) -> get(_s, k - 1).h <=> x.h OR get(_s, k + 1).h <=> x.h) AS _d")
     x = x.selectExpr(
         *held,
-        "CAST(_n AS BIGINT) AS n_words",
+        f"_n + {zero} AS n_words",
         "CAST(length(array_join(_w, '')) AS BIGINT) AS word_chars",
         f"CAST(length(_t) - length(regexp_replace(_t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols",
-        "CAST(size(_l) AS BIGINT) AS n_lines",
+        f"size(_l) + {zero} AS n_lines",
         "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT) AS n_dup_lines",
         "CAST(coalesce(size(array_distinct(flatten(transform(_d, x -> array(x.i, x.i + 1, x.i + 2))))), 0) AS BIGINT) AS n_repeat_words",
         f"CAST(size(filter(_w, w -> w IN ({stops}))) AS BIGINT) AS n_stop_words",
