@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import releasing, small_batches
 from .words import Words, grams, slices
 
 SEED_WORDS = 3
@@ -83,7 +83,7 @@ def _counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["word", "n"])
 
     out, n = np.zeros(len(vocabulary), np.int64), 0
-    for r in docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(releasing(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
         if r.word < 0:
             n = r.n
         else:
@@ -208,14 +208,17 @@ def leak_column(text: Column, items: Items) -> Column:
     """An array of (item, score, share) for each text; empty for a clean, null or empty one."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int64()), ("share", pa.float64())]))
 
-    @F.arrow_udf("array<struct<item_id: bigint, score: bigint, share: double>>")
-    def leaks(texts: pa.Array) -> pa.Array:
+    def of(texts: pa.Array) -> pa.Array:
         out: list[list] = [[] for _ in range(len(texts))]
         for first, _, w in slices(texts):
             for r, t, s in matches(w, items):
                 out[first + r].append({"item_id": items.ids[t], "score": s, "share": s / (MATCH * len(items.words[t]))})
         return pa.array(out, kind)
 
+    @F.arrow_udf("array<struct<item_id: bigint, score: bigint, share: double>>")
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(lambda every: map(of, every))(batches)
+
     return leaks(text)
 
 

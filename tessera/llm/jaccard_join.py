@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packs import FLUSH, bits_for, by_shard, cut, pack, send
-from .shared import partitions_for, small_batches, written
+from .packs import bits_for, by_shard, cut, pack, send
+from .shared import partitions_for, releasing, small_batches, written
 from .words import Words, grams, mix, slices
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 STAR_ROUNDS = 2
+#: Shingles that a task gathers before it sends them.
+FLUSH = 600_000
 
 _WHOLE_INT = 0x5851F42D4C957F2D
 _WHOLE = np.uint64(_WHOLE_INT)
@@ -86,7 +88,7 @@ def set_classes(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
                 k = class_keys(g, first, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(k, mask=size == 0)], ["doc_id", "n_shingles", "k"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), schema)
 
 
 def shared_shingles(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -203,7 +205,7 @@ def shared_shingles(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
                 yield pa.RecordBatch.from_arrays([pa.array(k[start[part]]), pa.array(size[part]), pa.array(own[part]), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "n", "own", "toks"])
 
     first = send(docs.select("text"), occurrences, parts)
-    return send(first, frequent, parts).mapInArrow(survivors, "k bigint, n bigint, own bigint, toks array<bigint>")
+    return send(first, frequent, parts).mapInArrow(releasing(survivors), "k bigint, n bigint, own bigint, toks array<bigint>")
 
 
 def links(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame | None:

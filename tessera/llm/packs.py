@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import releasing
+
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: Entries that a task gathers before it sends them.
 FLUSH = 1_200_000
@@ -74,7 +76,7 @@ def send(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[list
             for k in range(0, len(rows), 256):
                 yield as_batch(rows[k : k + 256])
 
-    return df.mapInArrow(run, "shard int, blob binary").repartition(partitions, "shard")
+    return df.mapInArrow(releasing(run), "shard int, blob binary").repartition(partitions, "shard")
 
 
 def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:

@@ -7,6 +7,8 @@ fixed size, so scoring is a sum of table entries row by row, without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Additive, fit_additive
 from .quality_rules import STOP_WORDS
-from .shared import small_batches
+from .shared import releasing, small_batches
 from .words import Words, grams, slices
 
 #: Labelled rows that the model is fitted to, at most: those whose ids hash lowest.
@@ -118,8 +120,8 @@ def score_column(text: Column, model: Additive) -> Column:
     """The model's probability of quality 1, from the whole text; null counts as an empty text."""
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(text_features(texts)))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(lambda every: (pa.array(model.score(text_features(texts))) for texts in every))(batches)
 
     return score(text)
 
