@@ -70,3 +70,23 @@ def context_block(texts: Column) -> Column:
 def token_stats(tokens: Column, messages: Column) -> Column:
     """Tokens of a message list: the contents', three for each message and five."""
     return tokens + 3 * messages + 5
+
+
+def fold_tokens(chunks: DataFrame, key: str, order: str) -> DataFrame:
+    """One reply per ``key`` of a token stream: ``key``, ``reply``, ``prompt_tokens``, ``completion_tokens``, ``closed``.
+
+    ``chunks``: token, finish_reason, prompt_tokens, completion_tokens, each null
+    where the chunk has none.  The first finish reason ends a reply, its own
+    token included; without one the reply is what came.  Tokens are counted
+    unless a chunk reports them, the last report holds.
+    """
+    w = Window.partitionBy(key)
+    ends = F.min(F.when(F.col("finish_reason") != "", F.col(order))).over(w)
+    x = chunks.withColumn("_end", ends).filter(F.col("_end").isNull() | (F.col(order) <= F.col("_end")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    return x.groupBy(key).agg(
+        F.expr(f"coalesce(listagg(token, '') WITHIN GROUP (ORDER BY `{order}`), '')").alias("reply"),
+        F.coalesce(last("prompt_tokens"), F.lit(0)).cast("long").alias("prompt_tokens"),
+        F.coalesce(last("completion_tokens"), F.count_if(F.col("token") != "")).cast("long").alias("completion_tokens"),
+        F.max(F.col("_end").isNotNull()).alias("closed"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import templates, text as X
 from ..operators import chat, chunk, relational, schedule, vector
 from ..sources.tables import table
 from .sql_tool import run_query
@@ -434,6 +434,38 @@ def consecutive_failures(s, d):
     return schedule.failing(table(s, d, "events"), ["user_id"], "ts", "event_id", F.col("event_type").isin("error", "click"), 2)
 
 
+# --- templates and token streams
+
+
+@query("""SELECT p_partkey, 'say hello about ' || p_name || '. /brief' AS expanded,
+'Part ' || p_name || ' {unknown} [User zip] of ' || p_type AS filled FROM part""")
+def prompt_templates(s, d):
+    n = F.col("p_name")
+    presets = [("/greet", "say hello about "), ("/brief", "Be brief.")]
+    return table(s, d, "part").select(
+        "p_partkey",
+        templates.expand_commands(F.concat(F.lit("/greet "), n, F.lit(". /brief")), presets).alias("expanded"),
+        templates.fill_variables(F.lit("Part {name} {unknown} {user.zip} of {type}"), {"name": n, "type": F.col("p_type")}).alias("filled"),
+    )
+
+
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(p_type || p_name, '[^a-zA-Z0-9_-]', '-', 'g')[1:63], '[_-]$', '') AS dashed,
+'tessera_' || regexp_replace(p_type || p_name, '[^a-zA-Z0-9_]', '_', 'g') AS underscored, 'ns_' || regexp_replace(p_type || p_name, '[^a-zA-Z0-9_]', '_', 'g') AS marked FROM part""")
+def namespace_names(s, d):
+    n = F.concat("p_type", "p_name")
+    return table(s, d, "part").select("p_partkey", templates.dashed_namespace(n).alias("dashed"), templates.underscored_namespace(n).alias("underscored"), templates.marked_namespace(n).alias("marked"))
+
+
+@query("""WITH c AS (SELECT *, min(CASE WHEN role = 'assistant' AND turn >= 3 THEN turn END) OVER (PARTITION BY conv_id) AS e FROM conversations), x AS (SELECT * FROM c WHERE e IS NULL OR turn <= e)
+SELECT conv_id, string_agg(text, '' ORDER BY turn) AS reply, CAST(0 AS BIGINT) AS prompt_tokens, CAST(coalesce(max(CASE WHEN turn = 2 THEN length(text) END), count(*) FILTER (WHERE text != '')) AS BIGINT) AS completion_tokens, bool_or(e IS NOT NULL) AS closed FROM x GROUP BY conv_id""")
+def token_stream(s, d):
+    c = table(s, d, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("token"), F.expr("CASE WHEN role = 'assistant' AND turn >= 3 THEN 'stop' END").alias("finish_reason"),
+        F.lit(None).cast("int").alias("prompt_tokens"), F.expr("CASE WHEN turn = 2 THEN length(text) END").alias("completion_tokens"),
+    )
+    return chat.fold_tokens(c, "conv_id", "turn")
+
+
 # --- guarded SQL
 
 

@@ -38,6 +38,36 @@ def test_functions(spark):
     assert list(row) == [4, 1, "3", "", False, True, False, "abcde...jklmn", "abcdefghijk", -2]
 
 
+def test_templates(spark):
+    from tessera.functions import templates as T
+
+    presets = [("/a", "one $1 \\\\ "), ("/b-c", "two")]
+    texts = ["/a x", "x /b-c", "say /a now", "x/a", "/RESET all", "", "no {y} {", "{x}{{x}{user.q}{}", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        T.expand_commands(F.col("t"), presets).alias("e"), T.fill_variables(F.col("t"), {"x": F.lit("{y}"), "y": F.lit("")}).alias("f")
+    ).collect()
+    assert [r.e for r in got[:5]] == ["one $1 \\\\ x", "xtwo", "sayone $1 \\\\ now", "x/a", "/reset"]
+    assert [r.f for r in got[5:]] == ["", "no {y} {", "{y}{{x}[User q]{}", None] and got[8].e is None
+
+
+def test_namespaces(spark):
+    from tessera.functions import templates as T
+
+    names = ["good_name", "-ab cd-", "a", "x" * 62 + "-yz", "1st", "ns_a b", "é"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(*[f(F.col("n")) for f in (T.dashed_namespace, T.underscored_namespace, T.marked_namespace)]).collect()
+    assert [r[0] for r in got[:6]] == ["good_name", "tessera-ab-cd", "tessera-a", "x" * 62, "1st", "ns_a-b"]
+    assert [r[1] for r in got] == ["tessera_good_name", "tessera__ab_cd_", "tessera_a", "tessera_" + "x" * 62 + "_yz", "1st", "tessera_ns_a_b", "tessera__"]
+    assert [r[2] for r in got[4:]] == ["ns_1st", "ns_a b", "ns__"]
+
+
+def test_token_stream(spark):
+    from tessera.operators.chat import fold_tokens
+
+    rows = [("a", 1, "x", None, None, None), ("a", 2, "y", "", 7, None), ("a", 3, "z", "stop", None, 2), ("a", 4, "late", "stop", 9, 9), ("b", 1, "p", None, None, None), ("b", 2, "", None, None, None), ("c", 1, None, None, None, None)]
+    made = spark.createDataFrame(rows, "k string, at int, token string, finish_reason string, prompt_tokens int, completion_tokens int")
+    assert sorted(map(tuple, fold_tokens(made, "k", "at").collect())) == [("a", "xyz", 7, 2, True), ("b", "p", 0, 1, False), ("c", "", 0, 0, False)]
+
+
 def test_similarity(spark):
     from tessera.operators.vector import similarity
 
