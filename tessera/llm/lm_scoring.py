@@ -1,24 +1,25 @@
 """Language-model scores from a weighted backoff automaton.
 
 Counts cover all training tokens.  Every word has its smoothed probability at
-the root, (c + 0.5) / (N + 0.5 (V + 1)).  Bigrams and trigrams that make up at
-least ``ARC_SHARE`` of all tokens are arcs, with absolute discounting; their
-histories are states, each with a failure arc to the next shorter history whose
-weight makes the probabilities of the state add up to one.  There are at most
-1 / ``ARC_SHARE`` arcs of an order and 1 / ``WORD_SHARE`` words with a state,
-however large the corpus, so the automaton can be sent to every task.
-
-A text is traversed once from left to right; a state carries all that matters of
-the past, so long texts are cut into pieces that start in the state their
-predecessor ends in, and many pieces advance together.  Only the words that are
-too rare for a state leave the task: each group of texts asks the hash shards
-for the counts of its rare words, and adds the answers up by itself.
+the root, (c + 0.5) / (N + 0.5 (V + 1)).  Every bigram and trigram that occurs
+``LEAST`` times or more is an arc, with absolute discounting; its history is a
+state, with a failure arc to the next shorter history whose weight makes the
+probabilities of the state add up to one.  The thresholds are counts, so what is
+learnt grows with the corpus.
+
+No task holds the automaton.  It lies in hash shards, and each group of texts
+looks up what it meets: first the counts of its words and bigrams, then those of
+the trigrams made of two arcs, for each of which the shards name one group as
+the owner; then the failure weights of its histories, to which every group has
+added the arcs it owns.  A state is the last
+two words at most, so all tokens of a group are traversed at once.
+:class:`Automaton` is the same in memory, token after token.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packs import FLUSH, bits_for, by_shard, cut, pack, send, unpack
-from .shared import partitions_for, small_batches, written
+from .packs import bits_for, pack, unpack
+from .shared import partitions_for, releasing, small_batches, written
 from .words import Words, mix, slices
 
-#: Words of at least this share of the training tokens have a state and arcs.
-WORD_SHARE = 2.0**-16
-#: Bigrams and trigrams of at least this share (and two occurrences) are arcs.
-ARC_SHARE = 2.0**-20
+#: Bigrams and trigrams of at least this many training occurrences are arcs.
+LEAST = 2
 DISCOUNT = 0.75
 PIECE = 64
+#: Tokens of a group of texts; a longer text is a group of its own.
+GROUP = 600_000
 
 _END = np.uint64(0xE4D0F7E875000001)
+_BEGIN = np.uint64(0x9B1A6C03D7F2E845)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(17)
 _TRIGRAM = np.uint64(1 << 60)
 _MASK = np.uint64((1 << 17) - 1)
@@ -68,99 +71,110 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array,
             yield ids, np.array([is_held_out(i) for i in ids.to_pylist()], bool), h, first, w
 
 
-def _word_counts(docs: DataFrame, parts: int, bits: int) -> DataFrame:
-    """(shard, blob of hashes and counts, v, n): training counts of every word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        held: list[np.ndarray] = []
-
-        def flush() -> list[tuple[int, bytes]]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return [(s, pack(h[at], c[at].astype(np.uint32))) for s, at in cut(h, bits)]
-
-        for _, out, h, first, _ in _slices(batches):
-            held.append(h[np.repeat(~out, np.diff(first))])
-            if sum(map(len, held)) >= 3 * FLUSH:
-                yield flush()
-        if held:
+class Grams:
+    """The n-grams that end in each token of a group: ``prev`` is the hash of the token's predecessor, ``two`` that of the bigram; a text's first token ends no trigram."""
+
+    def __init__(self, vocabulary: np.ndarray, index: np.ndarray, sizes: np.ndarray):
+        self.h = vocabulary[index]
+        self.prev = np.concatenate([[_BEGIN], self.h[:-1]]).astype(np.uint64)
+        self.prev[np.cumsum(sizes) - sizes] = _BEGIN
+        self.inner = self.prev != _BEGIN
+        self.two = mix(self.prev * _STEP + self.h)
+        self.history = np.concatenate([[np.uint64(0)], self.two[:-1]])
+
+    def before(self, x: np.ndarray, first: int) -> np.ndarray:
+        """What ``x`` is for the token before; ``first`` for a text's first token."""
+        return np.where(self.inner, np.concatenate([[0], x[:-1]]), first)
+
+    def threes(self, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, distinct trigrams, place of each token's): only a trigram of two bigrams that are arcs can be one, being at most as frequent."""
+        at = np.flatnonzero((c2 > 0) & (self.before(c2, 0) > 0))
+        return at, *np.unique(mix((self.history[at] ^ _TRIGRAM) * _STEP + self.h[at]), return_inverse=True)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """:func:`written`, after which what was shuffled for it goes."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df)
+    finally:
+        conf.set(key, was)
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that are read no more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _edges(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """First entry of each shard, and the number of entries; ``hashes`` ascend."""
+    return np.concatenate([[0], np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(hashes)]])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """(shard, groups, what each sent) of each shard in a partition of (flush, shard, blob) rows, the groups in a fixed order."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for f, s, x in zip(*(c.to_pylist() for c in b.columns)):
+            held.setdefault(s, []).append((f, x))
+    for s in sorted(held):
+        rows = sorted(held.pop(s), key=lambda r: r[0])
+        yield s, [f for f, _ in rows], [unpack(x) for _, x in rows]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], pa.Array, list[list[np.ndarray]]]]:
+    """(flush, own arrays, ids, answers by shard) of each group in a partition of (flush, shard, blob, ids) rows; a group's own row has shard -1."""
+    own: dict[int, tuple[bytes, pa.Array]] = {}
+    answers: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for i, (f, s, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+            if s < 0:
+                own[f] = (x, b.column(3)[i].values)
+            else:
+                answers.setdefault(f, []).append((s, x))
+    for f in sorted(own):
+        x, ids = own.pop(f)
+        yield f, unpack(x), ids, [unpack(y) for _, y in sorted(answers.pop(f, []), key=lambda y: y[0])]
+
+
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(total of each distinct key, place of each sent key, was it the first sent one with a count?)"""
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.concatenate(counts).astype(np.int64)
+    total = np.bincount(place, c, len(found)).astype(np.int64)
+    at = np.flatnonzero(c > 0)
+    _, first = np.unique(place[at], return_index=True)
+    owner = np.zeros(len(c), bool)
+    owner[at[first]] = True
+    return total, place, owner
+
+
+def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, bytes]]:
+    """(ids, blob of held out?, sizes, vocabulary, index of each token) of groups of texts."""
+    ids: list[pa.Array] = []
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> tuple[pa.Array, bytes]:
+        out, sizes, h = (np.concatenate(x) for x in zip(*held))
+        vocabulary, index = np.unique(h, return_inverse=True)
+        group = pa.concat_arrays(ids), pack(out.astype(np.uint8), sizes, vocabulary, index.astype(np.uint32))
+        ids.clear()
+        held.clear()
+        return group
+
+    for some, out, h, first, _ in _slices(batches):
+        if held and sum(len(x[2]) for x in held) + len(h) > most:
             yield flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, blobs in by_shard(batches):
-            h, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([b[1] for b in blobs]).astype(float), len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(h, c)], pa.binary()), pa.array([len(h)]), pa.array([int(c.sum())])], ["shard", "blob", "v", "n"])
-
-    return written(send(docs, count, parts).mapInArrow(add, "shard int, blob binary, v bigint, n bigint"))
-
-
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                h, c = unpack(x)
-                some = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([pack(h[some], c[some])], pa.binary())], ["blob"])
-
-    found = [unpack(r.blob) for r in counts.select("blob").mapInArrow(pick, "blob binary").collect()]
-    h, c = np.concatenate([f[0] for f in found] + [np.zeros(0, np.uint64)]), np.concatenate([f[1] for f in found] + [np.zeros(0, np.int64)])
-    order = np.argsort(h)
-    return h[order].astype(np.uint64), c[order].astype(np.int64)
-
-
-def _places(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash among the frequent words, or -1."""
-    if not len(hot):
-        return np.full(len(h), -1, np.int64)
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return np.where(hot[at] == h, at, -1)
-
-
-def _ngram_counts(docs: DataFrame, hot: np.ndarray, least: float, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the bigrams and trigrams of frequent words that reach ``least``; the word after the last is the start of a text."""
-    begin = len(hot)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        held: list[np.ndarray] = []
-
-        def flush() -> list[tuple[int, bytes]]:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            shard = (mix(key) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((key, shard))
-            key, c, shard = key[order], c[order].astype(np.uint32), shard[order]
-            edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(key) else np.zeros(0, np.int64)
-            return [(int(shard[a]), pack(key[a:b], c[a:b])) for a, b in zip(edges, [*edges[1:], len(key)])]
-
-        for _, out, h, first, _ in _slices(batches):
-            x = np.full(len(h) + len(first) - 1, begin, np.int64)
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            x[np.arange(len(h)) + row + 1] = np.where(out[row], -1, _places(hot, h))
-            x[(first[:-1] + np.arange(len(first) - 1))[out]] = -1
-            a, b = x[:-1], x[1:]
-            two = (a >= 0) & (b >= 0) & (b != begin)
-            u = x.astype(np.uint64)
-            held.append((u[:-1][two] << _SHIFT) | u[1:][two])
-            three = two[:-1] & two[1:]
-            held.append(_TRIGRAM | (((u[:-2][three] << _SHIFT) | u[1:-1][three]) << _SHIFT) | u[2:][three])
-            if sum(map(len, held)) >= 3 * FLUSH:
-                yield flush()
-        if held:
-            yield flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_shard(batches):
-            key, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([b[1] for b in blobs]).astype(float), len(key)).astype(np.int64)
-            some = c >= least
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([pack(key[some], c[some])], pa.binary())], ["blob"])
-
-    found = [unpack(r.blob) for r in send(docs, count, parts).mapInArrow(add, "blob binary").collect()]
-    key, c = np.concatenate([f[0] for f in found] + [np.zeros(0, np.uint64)]), np.concatenate([f[1] for f in found] + [np.zeros(0, np.int64)])
-    order = np.argsort(key)
-    return key[order].astype(np.uint64), c[order].astype(np.int64)
+        ids.append(some)
+        held.append((out, np.diff(first).astype(np.int64), h))
+    if held:
+        yield flush()
 
 
 @dataclass
@@ -271,7 +285,7 @@ def build_automaton(hot: np.ndarray, hot_count: np.ndarray, key: np.ndarray, cou
     return Automaton(hot, root, keys[order], np.log10(np.concatenate([p2, p3]))[order], np.concatenate([id2, 2 + words + to]).astype(np.int64)[order], fail, weight, fall)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     The model learns from the rows that are not held out.  Defined results: a
@@ -283,92 +297,148 @@ def score_documents(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     parts = partitions_for(docs)
     bits = bits_for(parts)
-    counts = _word_counts(docs, parts, bits)
-    total = counts.agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(total[0] or 0), int(total[1] or 0)
-    hot, hot_count = _frequent(counts, max(1.0, n * WORD_SHARE)) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    key, count = _ngram_counts(docs, hot, max(2.0, n * ARC_SHARE), parts, bits) if len(hot) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    at = _places(hot, np.array([_END]))[0]
-    automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(hot, hot_count, key, count, n, v, int(hot_count[at]) if at >= 0 else 1))
-    log_all = float(np.log10(n + 0.5 * (v + 1)))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField(*f) for f in [("flush", T.LongType()), ("shard", T.IntegerType()), ("blob", T.BinaryType()), ("ids", T.ArrayType(kind))]])
     names = [f.name for f in schema]
+    plain, no_ids = "flush bigint, shard int, blob binary", F.lit(None).cast(schema["ids"].dataType).alias("ids")
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each group of texts their own row (shard -1), and a row for each shard with the rare words to ask for."""
-        model = automaton.value
+    def row(f: int, s: int, blob: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names[:3])
+
+    def own(f: int, blob: bytes, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*row(f, -1, blob).columns, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        texts: list[tuple[pa.Array, list[np.ndarray]]] = []
-        rare: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        groups = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal groups
-            ids = pa.concat_arrays([t[0] for t in texts])
-            words, place = np.unique(np.concatenate(rare), return_inverse=True)
-            own = pack(*(np.concatenate(x) for x in zip(*(t[1] for t in texts))), place.astype(np.uint32), np.concatenate(times).astype(np.uint32))
-            rows = [(-1, own), *((s, pack(words[at])) for s, at in cut(words, bits))]
-            m = len(rows)
-            lists = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * m], pa.int32()), ids)
-            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + groups] * m, pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), lists], names)
-            groups += 1
-            for x in (texts, rare, times):
-                x.clear()
-            return out
-
-        for ids, out, h, first, w in _slices(batches):
-            word = _places(model.hot, h)
-            row = np.repeat(np.arange(len(ids)), np.diff(first))
-            known = word >= 0
-            base = np.bincount(row[known], model.root[word[known]], len(ids)) if len(model.hot) else np.zeros(len(ids))
-            texts.append((ids, [out.astype(np.uint8), np.diff(first).astype(np.int64), np.bincount(row[known], minlength=len(ids)), base, model.traverse(word, first)]))
-            rare.append(h[~known])
-            times.append(np.bincount(row[~known], minlength=len(ids)))
-            if sum(map(len, rare)) >= FLUSH:
-                yield flush()
-        if texts:
-            yield flush()
+        for k, (ids, blob) in enumerate(_gather(batches, group)):
+            yield own((task << 32) + k, blob, ids)
+
+    groups = _written(docs.mapInArrow(releasing(gather), schema))
 
-    both = written(docs.mapInArrow(traverse, schema))
-    asked = counts.select(F.lit(None).cast("bigint").alias("flush"), "shard", "blob").unionByName(both.filter("shard >= 0").select("flush", "shard", "blob"))
+    def asked(f: int, *sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows with a group's ascending keys of each kind and what it knows of them, by shard."""
+        edges = [_edges(keys, bits) for keys, _ in sent]
+        for s in np.flatnonzero(sum(np.diff(e) for e in edges)):
+            yield row(f, int(s), pack(*(x[e[s] : e[s + 1]] for e, kind in zip(edges, sent) for x in kind)))
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The training count of each word that a group of texts asked for, in its order."""
-        held: dict[int, list[tuple[int | None, bytes]]] = {}
+    def ask_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's words and bigrams with their training counts."""
         for b in batches:
-            for f, s, x in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(s, []).append((f, x))
-        for s in sorted(held):
-            rows = held.pop(s)
-            h, c = next((unpack(x) for f, x in rows if f is None), (np.zeros(1, np.uint64), np.zeros(1, np.int64)))
-            for f, x in rows:
-                if f is not None:
-                    q = unpack(x)[0]
-                    at = np.minimum(np.searchsorted(h, q), len(h) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([s], pa.int32()), pa.array([pack(np.where(h[at] == q, c[at], 0).astype(np.uint32))], pa.binary())], names[:3])
-
-    answers = asked.repartition(parts, "shard").mapInArrow(answer, "flush bigint, shard int, blob binary")
-    meet = answers.withColumn("ids", F.lit(None).cast(schema["ids"].dataType)).unionByName(both.filter("shard < 0")).repartition(parts, "flush")
+            for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out, sizes, vocabulary, index = unpack(x)
+                train = np.repeat(out == 0, sizes)
+                keys, place = np.unique(Grams(vocabulary, index, sizes).two, return_inverse=True)
+                yield from asked(f, (vocabulary, np.bincount(index[train], minlength=len(vocabulary)).astype(np.uint32)), (keys, np.bincount(place[train], minlength=len(keys)).astype(np.uint32)))
+
+    def ask_threes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's trigrams that may be arcs with their training counts."""
+        for b in batches:
+            for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out, sizes, vocabulary, index, _, arcs = unpack(x)
+                at, keys, place = Grams(vocabulary, index, sizes).threes(arcs >> 1)
+                train = np.repeat(out == 0, sizes)[at]
+                yield from asked(f, (keys, np.bincount(place[train], minlength=len(keys)).astype(np.uint32)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of the words, if any, and for arcs only, twice those of the n-grams, and one more for the owner; n and v of the shard are in its first row."""
+        for s, asking, sent in _shards(batches):
+            answers, n, v = [], 0, 0
+            for k in range(0, len(sent[0]), 2):
+                total, place, owner = _totals([x[k] for x in sent], [x[k + 1] for x in sent])
+                if k + 2 < len(sent[0]):
+                    answer, n, v = total[place], int(total.sum()), int((total > 0).sum())
+                else:
+                    answer = np.where(total[place] >= LEAST, 2 * total[place] + owner, 0)
+                answers.append(np.split(answer, np.cumsum([len(x[k]) for x in sent])[:-1]))
+            for f, *x in zip(asking, *answers):
+                yield pa.RecordBatch.from_arrays([*row(f, s, pack(*x)).columns, pa.array([n]), pa.array([v])], [*names[:3], "n", "v"])
+                n = v = 0
+
+    def counted(of: DataFrame, ask: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        return _written(of.select("flush", "blob").mapInArrow(releasing(ask), plain).repartition(parts, "shard").mapInArrow(releasing(count), plain + ", n bigint, v bigint"))
+
+    def met(counts: DataFrame, groups: DataFrame) -> DataFrame:
+        return counts.select(*names[:3], no_ids).unionByName(groups).repartition(parts, "flush")
+
+    twos = counted(groups, ask_twos)
+    total = twos.agg(F.sum("n"), F.sum("v")).first()
+    n, v = int(total[0] or 0), int(total[1] or 0)
+    norm = n + 0.5 * (v + 1)
+
+    def know_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups with the counts of their words and, for each token, twice that of its bigram; one more at one token of each bigram that the group owns."""
+        for f, (out, sizes, vocabulary, index), ids, answers in _groups(batches):
+            words, arcs = (np.concatenate(x) for x in zip(*answers))
+            _, first, place = np.unique(Grams(vocabulary, index, sizes).two, return_index=True, return_inverse=True)
+            each = arcs[place] & ~1
+            each[first] |= arcs & 1
+            yield own(f, pack(out, sizes, vocabulary, index, words, each), ids)
+
+    known = _written(met(twos, groups).mapInArrow(releasing(know_twos), schema))
+    _drop(twos, groups)
+    threes = counted(known, ask_threes)
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores without failure weights; by shard, the histories whose weights are missing or whose arcs the group owns, with the arcs' counts there and one word shorter, and their number."""
+        for f, (out, sizes, vocabulary, index, words, arcs), ids, answers in _groups(batches):
+            g = Grams(vocabulary, index, sizes)
+            c, c2, c3 = words[index], arcs >> 1, np.zeros(len(index), np.int64)
+            at, _, place = g.threes(c2)
+            arcs3 = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in answers)])
+            c3[at] = arcs3[place] >> 1
+            before, before2 = g.before(c, words[np.searchsorted(vocabulary, _END)]), g.before(c2, 0)
+            p1 = (c + 0.5) / norm
+            p2 = np.where(c2 > 0, (c2 - DISCOUNT) / np.maximum(before, 1), 0.0)
+            p3 = np.where(c3 > 0, (c3 - DISCOUNT) / np.maximum(before2, 1), 0.0)
+            fails2, fails1 = (c3 == 0) & (before2 > 0), (c3 == 0) & (c2 == 0) & (before >= LEAST)
+            # One token of each n-gram that the group owns.
+            one3 = np.zeros(len(arcs3), np.int64)
+            one3[place] = at
+            own2, own3 = np.flatnonzero(arcs & 1), one3[(arcs3 & 1) == 1]
+            row_of = np.repeat(np.arange(len(sizes)), sizes)
+            need = np.concatenate([row_of[fails1], row_of[fails2]])
+            keys, place = np.unique(np.concatenate([g.prev[fails1], g.history[fails2], g.prev[own2], g.history[own3]]), return_inverse=True)
+            sums = [np.bincount(place[len(need) :], x, len(keys)).astype(np.int64) for x in (np.concatenate([c2[own2], c3[own3]]), np.concatenate([c[own2], c2[own3]]), np.ones(len(own2) + len(own3)))]
+            # The counts of each history and, for a bigram, of its last word.
+            whole, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            whole[place] = np.concatenate([before[fails1], before2[fails2], before[own2], before2[own3]])
+            last[place] = np.concatenate([0 * before[fails1], before[fails2], 0 * before[own2], before[own3]])
+            order = np.argsort(need, kind="stable")
+            log1 = np.log10(p1)
+            with np.errstate(divide="ignore"):
+                score = np.where(c3 > 0, np.log10(p3), np.where(c2 > 0, np.log10(p2), log1))
+            of_rows = [np.bincount(row_of, x, len(sizes)) for x in (c > 0, log1, score)]
+            yield own(f, pack(out, sizes, *of_rows, place[: len(need)][order].astype(np.uint32), np.bincount(need, minlength=len(sizes)).astype(np.uint32), whole, last), ids)
+            e = _edges(keys, bits)
+            for s in np.flatnonzero(np.diff(e)):
+                q = slice(e[s], e[s + 1])
+                yield pa.RecordBatch.from_arrays([*row(f, int(s), pack(keys[q], *(x[q] for x in sums))).columns, pa.array([None], pa.list_(ids.type))], names)
+
+    both = _written(met(threes, known).mapInArrow(releasing(traverse), schema))
+    _drop(threes, known)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums over all arcs of each history that a group of texts asked for, in its order."""
+        for s, asking, sent in _shards(batches):
+            keys, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+            sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(keys)).astype(np.int64)[place] for k in (1, 2, 3)]
+            a = 0
+            for f, x in zip(asking, sent):
+                yield row(f, s, pack(*(y[a : a + len(x[0])] for y in sums)))
+                a += len(x[0])
+
+    sums = both.filter("shard >= 0").select(*names[:3]).repartition(parts, "shard").mapInArrow(releasing(add), plain)
+    meet = sums.select("*", no_ids).unionByName(both.filter("shard < 0")).repartition(parts, "flush")
     of_text = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each group's sums with those over its rare words."""
-        own: dict[int, tuple[bytes, pa.Array]] = {}
-        counted: dict[int, list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for i, (f, s, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
-                if s < 0:
-                    own[f] = (x, b.column(3)[i].values)
-                else:
-                    counted.setdefault(f, []).append((s, x))
-        for f in sorted(own):
-            x, ids = own.pop(f)
-            out, tokens, known, base, score, place, times = unpack(x)
-            c = np.concatenate([unpack(y)[0] for _, y in sorted(counted.pop(f, []), key=lambda y: y[0])] + [np.zeros(0, np.uint32)])[place].astype(np.int64)
-            row = np.repeat(np.arange(len(times)), times)
-            lp = np.bincount(row, np.log10(c + 0.5) - log_all, len(times))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(tokens), pa.array(known + np.bincount(row, c > 0, len(times)).astype(np.int64)), pa.array(base + lp), pa.array(score + lp)], of_text.names)
-
-    return meet.mapInArrow(finish, of_text).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        """Each group's sums with the failure weights on the way."""
+        for _, (out, tokens, known, base, score, place, times, whole, last), ids, answers in _groups(batches):
+            high, low, arcs = (np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(3))
+            seen = (high - DISCOUNT * arcs) / np.maximum(whole, 1)
+            lower = np.where(last > 0, (low - DISCOUNT * arcs) / np.maximum(last, 1), (low + 0.5 * arcs) / norm)
+            weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))[place]
+            score = score + np.bincount(np.repeat(np.arange(len(times)), times), weight, len(times))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], of_text.names)
+
+    return meet.mapInArrow(releasing(finish), of_text).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

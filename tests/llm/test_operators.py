@@ -95,6 +95,38 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert score_documents(empty).count() == 0
 
 
+def test_lm_scoring_has_every_repeated_ngram(spark):
+    """A bigram and a trigram seen twice are arcs however small their share of the tokens, and score as the automaton in memory."""
+    from tessera.llm import lm_scoring as lm
+
+    r = random.Random(8)
+    many = [(i, " ".join(f"v{int(r.paretovariate(0.7)) % 5000}" for _ in range(400))) for i in range(500)]
+    rare = "rareone raretwo rarethree"
+    made = many + [(i, f"{rare} {i}") for i in range(1000, 1100)]
+    keep = [x for x in made[500:] if not lm.is_held_out(x[0])][:2]
+    made = many + keep + [x for x in made[500:] if lm.is_held_out(x[0])][:1]
+    texts = [(lm.is_held_out(i), t.split() + ["</s>"]) for i, t in made]
+    c = Counter(w for out, ws in texts if not out for w in ws)
+    vocabulary = sorted({w for _, ws in texts for w in ws})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    two, three = Counter(), Counter()
+    for out, ws in texts:
+        if not out:
+            x = [len(vocabulary)] + [place[w] for w in ws]
+            two.update(zip(x, x[1:]))
+            three.update(zip(x, x[1:], x[2:]))
+    arcs = sorted([((a << 17) | b, n) for (a, b), n in two.items() if n > 1] + [((1 << 60) | (((a << 17) | b) << 17) | w, n) for (a, b, w), n in three.items() if n > 1])
+    m = lm.build_automaton(np.arange(len(vocabulary)), np.array([c[w] for w in vocabulary]), np.array([k for k, _ in arcs], np.uint64), np.array([n for _, n in arcs]), sum(c.values()), len(c), c["</s>"])
+    word = np.array([place[w] for _, ws in texts for w in ws])
+    expected = m.traverse(word, np.cumsum([0] + [len(ws) for _, ws in texts]))
+    docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    for more in ({}, {"group": 3000}):
+        got = {x.doc_id: x for x in lm.score_documents(docs, **more).collect()}
+        assert np.allclose([got[i].score for i, _ in made], expected, rtol=1e-9)
+    last = got[made[-1][0]]
+    assert last.held_out and last.score > last.base_score + 6
+
+
 def test_automaton_is_a_distribution_and_pieces_agree():
     from tessera.llm import lm_scoring as lm
 
