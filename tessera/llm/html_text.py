@@ -1,8 +1,9 @@
 """Main text of web pages by removal of site templates.
 
 Each element's subtree is hashed (tag, class, id, text and children).  Spark
-counts, per host, on how many pages a hash occurs; subtrees that recur across
-many pages of their host are template and go.  Elements that say what they are
+counts, per host, on how many different pages a hash occurs; subtrees that recur
+across many pages of their host are template and go.  Pages of one text are one
+page there, so copies of a page do not make its content template.  Elements that say what they are
 (nav, footer, script, class="ad", ...) go on any page.  What is left of the
 article, or of the body where a page has none, is the text.
 """
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import releasing, small_batches, written
 
-#: A subtree is template if it is on at least this many pages of its host ...
+#: A subtree is template if it is on at least this many different pages of its host ...
 MIN_PAGES = 5
-#: ... and on at least this share of the host's pages.
+#: ... and on at least this share of the host's different pages.
 MIN_SHARE = 0.3
 
 _QUOTED = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
@@ -153,8 +154,11 @@ def removable(n: Node) -> bool:
     return n.tag not in ("html", "body", "article", "main", "head") and not (n.inside and n.tag in _CONTENT)
 
 
-def subtree_hashes(page: str) -> set[int]:
-    return {n.hash for n in nodes(parse(page)) if removable(n) and n.parts}
+def subtree_hashes(page: str) -> tuple[set[int], int]:
+    """Hashes of the subtrees that may be template, and one of the page's text, dropped elements apart."""
+    root = parse(page)
+    text = hashlib.blake2b(_text(root, set(), False).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return {n.hash for n in nodes(root) if removable(n) and n.parts}, int.from_bytes(text, "big", signed=True)
 
 
 def _text(top: Node, template: set[int], article_only: bool) -> str:
@@ -189,15 +193,17 @@ def _text(top: Node, template: set[int], article_only: bool) -> str:
 
 
 def main_text(page: str | None, template: set[int]) -> str:
-    """The page's text without template and dropped elements; empty if there is none."""
+    """The page's text without template and dropped elements; with template where nothing else is left; empty if there is none."""
     if not page:
         return ""
     root = parse(page)
-    if any(n.tag in ("article", "main") and not n.dropped for n in nodes(root)):
-        found = _text(root, template, True)
-        if found:
-            return found
-    return _text(root, template, False)
+    article = any(n.tag in ("article", "main") and not n.dropped for n in nodes(root))
+    for known in (template, set()):
+        for only in (True, False) if article else (False,):
+            found = _text(root, known, only)
+            if found:
+                return found
+    return ""
 
 
 def host_of(url: str | None) -> str:
@@ -211,23 +217,26 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """``host`` and ``template``, the array of hashes of its recurring subtrees.
 
     A host's array holds at most (elements of a page) / ``min_share`` hashes.
-    Counts are added up on the map side first, so a host with a third of all
-    pages sends no more rows than it has different subtrees.
+    A subtree counts once for each different text of its host's pages.  Copies are
+    left out on the map side first, and the rest is dealt by host, subtree and
+    text, so neither a hot host nor its copies make a large task.
     """
 
+    small_batches(pages.sparkSession)
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                hosts, hashes = [], []
-                for url, page in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)):
+            for k in range(0, len(batch), 200):
+                rows = set()
+                for url, page in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns)):
                     host = host_of(url)
                     if host:
-                        found = subtree_hashes(page or "") | {0}  # 0 counts the page
-                        hosts += [host] * len(found)
-                        hashes += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                        found, text = subtree_hashes(page or "")
+                        rows |= {(host, h, text) for h in (*found, 0)}  # 0 counts the page
+                hosts, hashes, texts = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], ["host", "hash", "text"])
 
-    counts = pages.select("url", "html").mapInArrow(seen, "host string, hash bigint").groupBy("host", "hash").count().filter(F.col("count") >= min_pages)
+    counts = pages.select("url", "html").mapInArrow(releasing(seen), "host string, hash bigint, text bigint").distinct().groupBy("host", "hash").count().filter(F.col("count") >= min_pages)
     counts = written(counts)
     of_host = counts.filter("hash = 0").select("host", F.col("count").alias("pages"))
     return counts.filter("hash != 0").join(of_host, "host").filter(F.col("count") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("template"))

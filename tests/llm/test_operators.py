@@ -265,6 +265,19 @@ def test_html(spark):
     assert extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_copies_are_one_page(spark):
+    from tessera.llm.html_text import extract_text
+
+    article = "<body><nav>n{}</nav><article><h1>Head</h1><p>text</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table></article></body>"
+    plain = "<body><div><h1>Title</h1><p>no article here</p></div></body>"
+    made = [(i, f"http://a.example/{i}", article.format(i)) for i in range(8)] + [(20 + i, f"http://b.example/{i}", plain) for i in range(6)]
+    made += [(40 + i, f"http://c.example/{i}", f"<body><div>Same block</div>{'<p>page %d</p>' % i if i < 8 else ''}</body>") for i in range(9)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(made, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == "Head\ntext\none\ntwo\ncell" for i in range(8))
+    assert all(got[20 + i] == "Title\nno article here" for i in range(6))
+    assert got[43] == "page 3" and got[48] == "Same block"
+
+
 def test_personal_data(spark, docs):
     from tessera.llm.pii import base_spans, find_personal_data, redact
     from pyspark.sql import functions as F
