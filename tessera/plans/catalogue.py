@@ -103,6 +103,46 @@ def rerank_candidates(s, d):
     return x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).filter("r <= m").select("query_id", "id")
 
 
+# The searches with every row whose id is divisible by 20 as a query.
+
+_EACH = f"SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS.format(a='e.embedding', b='q.embedding')} AS dist FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0"
+
+
+@query(f"""WITH s AS ({_EACH}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25""")
+def vector_topn_many(s, d):
+    v = _vectors(s, d)
+    return vector.search_many(v, v.filter("id % 20 = 0")).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH s AS ({_EACH}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s)
+SELECT query_id, id FROM r WHERE rank <= 4 AND {_SIM} >= 0.1 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def vector_search_pinned_many(s, d):
+    v = _vectors(s, d)
+    pinned = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    return vector.search_many(v, v.filter("id % 20 = 0"), threshold=0.1, pinned=pinned).select("query_id", "id")
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS l2,
+round(-list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS inner_product, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: abs(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))), 6) AS l1
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q""")
+def vector_distances_many(s, d):
+    v = _vectors(s, d).select("id", vector.as_doubles(F.col("vector")).alias("v"))
+    x = v.crossJoin(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    a, b = F.col("v"), F.col("q")
+    return x.select("query_id", "id", F.round(vector.cosine_distance(a, b), 6).alias("cosine"), F.round(vector.l2_distance(a, b), 6).alias("l2"), F.round(-vector.dot(a, b), 6).alias("inner_product"), F.round(vector.l1_distance(a, b), 6).alias("l1"))
+
+
+@query(f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS ({_EACH}),
+r AS (SELECT query_id, id, greatest(10, least(50, ceil(c.n * 0.1))) AS m, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM s JOIN c USING (label))
+SELECT query_id, id FROM r WHERE r <= m""")
+def rerank_candidates_many(s, d):
+    v = _vectors(s, d)
+    q = v.filter("id % 20 = 0")
+    most = v.groupBy("namespace").agg(vector.rerank_limit(F.count(F.lit(1))).alias("m")).join(q.select("namespace", F.col("id").alias("query_id")), "namespace")
+    return vector.nearest(v, q, 50).join(most.select("query_id", "m"), "query_id").filter("rank <= m").select("query_id", "id")
+
+
 @query("SELECT label AS namespace, count(*) AS vectors FROM embeddings GROUP BY GROUPING SETS ((label), ())")
 def namespace_counts(s, d):
     return _vectors(s, d).rollup("namespace").agg(F.count(F.lit(1)).alias("vectors"))
