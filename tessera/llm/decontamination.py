@@ -31,6 +31,8 @@ WINDOW_SEEDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's full score from which on a document counts as contaminated ...
 MIN_SHARE = 0.5
+#: ... or, however long the item is, the score of an excerpt of so many agreeing words ...
+EXCERPT_WORDS = 13
 #: ... and the words that have to agree at least (all of a shorter item).
 MIN_WORDS = 6
 #: Text of the items sent to the tasks at a time.
@@ -188,7 +190,7 @@ def matches(w: Words, items: Items) -> list[tuple[int, int, int]]:
         score = align([items.words[p[1]] for p in part], [h[p[2] : p[3]] for p in part])
         for p, s in zip(part, score.tolist()):
             full = MATCH * len(items.words[p[1]])
-            if s >= MIN_SHARE * full and s >= min(full, MATCH * MIN_WORDS):
+            if s >= min(MIN_SHARE * full, MATCH * EXCERPT_WORDS) and s >= min(full, MATCH * MIN_WORDS):
                 found[p[0], p[1]] = max(s, found.get((p[0], p[1]), 0))
         at = to
     return [(r, t, s) for (r, t), s in sorted(found.items())]

@@ -182,6 +182,19 @@ def test_decontamination(spark, docs, empty):
     assert align([np.array(a, np.uint64) for a, _ in pairs], [np.array(b, np.uint64) for _, b in pairs]).tolist() == [sw(a, b) for a, b in pairs]
 
 
+def test_decontamination_finds_excerpts(spark):
+    from tessera.llm.decontamination import decontaminate, find_leaks
+
+    r = random.Random(12)
+    prose = lambda k: " ".join("".join(r.choice("fghijkl") for _ in range(6)) for _ in range(k))
+    items = [prose(59).split(" "), prose(200).split(" ")]
+    made = [(1, f"{prose(40)} {' '.join(items[0][20:45])} {prose(40)}"), (2, f"{prose(40)} {' '.join(items[1][100:190])} {prose(9)}"), (3, f"{prose(30)} {' '.join(items[1][60:73])}"), (4, f"{prose(30)} {' '.join(items[1][60:70])} {prose(5)}"), (5, prose(300))]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    assert sorted((x.doc_id, x.item_id) for x in find_leaks(docs, bench).collect()) == [(1, 0), (2, 1), (3, 1)]
+    assert sorted(x.doc_id for x in decontaminate(docs, bench).collect()) == [4, 5]
+
+
 def test_sharding(docs, rows, empty):
     from tessera.llm.sharding import shard_documents
 
