@@ -33,12 +33,24 @@ WITH d AS (
 t AS (
   SELECT source, source_size, CAST(CASE WHEN capped THEN cap ELSE w * (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())
     / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS DOUBLE) AS target FROM b
+), c0 AS (
+  SELECT source, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END AS class, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY ALL
+), c AS (
+  SELECT c0.*, 1.0 + class AS m, t.source_size, t.target,
+    t.target - 2 * coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_left,
+    sum(words * (1.0 + class)) OVER (PARTITION BY c0.source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rest
+  FROM c0 JOIN t ON c0.source IS NOT DISTINCT FROM t.source
+), e AS (SELECT *, m * full_left >= 2 * rest AS at_most FROM c),
+f AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0.0 WHEN at_most THEN 2.0 ELSE greatest(0.0, least(2.0,
+      (target - 2 * coalesce(sum(CASE WHEN at_most THEN words END) OVER w, 0)) / sum(CASE WHEN NOT at_most THEN words * m END) OVER w * m)) END AS copies
+  FROM e WINDOW w AS (PARTITION BY source)
 ), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM t
+  SELECT *, floor(copies) AS certain, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS need FROM f
 ), x AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.certain, r.target - r.certain * r.source_size AS need,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.certain, r.need, r.p > 0 AS ranked,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source, r.p > 0 ORDER BY (d.u / (1 - d.u)) / (r.p / (1 - r.p)), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND r.class = CASE WHEN d.size = 0 THEN 0 ELSE length(bin(d.size)) END
 )
-SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN need > 0 AND 2 * before + size <= 2 * need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN ranked AND need > 0 AND 2 * before + size <= 2 * need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
