@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packs import bits_for, pack, unpack
-from .shared import partitions_for, releasing, small_batches, written
+from .packs import bits_for, edges, groups_of, pack, shards, unpack
+from .shared import discard, partitions_for, releasing, small_batches, written
 from .words import Words, mix, slices
 
 #: Bigrams and trigrams of at least this many training occurrences are arcs.
@@ -92,57 +92,6 @@ class Grams:
         return at, *np.unique(mix((self.history[at] ^ _TRIGRAM) * _STEP + self.h[at]), return_inverse=True)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """:func:`written`, after which what was shuffled for it goes."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = conf.get(key)
-    conf.set(key, "true")
-    try:
-        return written(df)
-    finally:
-        conf.set(key, was)
-
-
-def _drop(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that are read no more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _edges(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """First entry of each shard, and the number of entries; ``hashes`` ascend."""
-    return np.concatenate([[0], np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(hashes)]])
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
-    """(shard, groups, what each sent) of each shard in a partition of (flush, shard, blob) rows, the groups in a fixed order."""
-    held: dict[int, list[tuple[int, bytes]]] = {}
-    for b in batches:
-        for f, s, x in zip(*(c.to_pylist() for c in b.columns)):
-            held.setdefault(s, []).append((f, x))
-    for s in sorted(held):
-        rows = sorted(held.pop(s), key=lambda r: r[0])
-        yield s, [f for f, _ in rows], [unpack(x) for _, x in rows]
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], pa.Array, list[list[np.ndarray]]]]:
-    """(flush, own arrays, ids, answers by shard) of each group in a partition of (flush, shard, blob, ids) rows; a group's own row has shard -1."""
-    own: dict[int, tuple[bytes, pa.Array]] = {}
-    answers: dict[int, list[tuple[int, bytes]]] = {}
-    for b in batches:
-        for i, (f, s, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
-            if s < 0:
-                own[f] = (x, b.column(3)[i].values)
-            else:
-                answers.setdefault(f, []).append((s, x))
-    for f in sorted(own):
-        x, ids = own.pop(f)
-        yield f, unpack(x), ids, [unpack(y) for _, y in sorted(answers.pop(f, []), key=lambda y: y[0])]
-
-
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(total of each distinct key, place of each sent key, was it the first sent one with a count?)"""
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -313,13 +262,13 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
         for k, (ids, blob) in enumerate(_gather(batches, group)):
             yield own((task << 32) + k, blob, ids)
 
-    groups = _written(docs.mapInArrow(releasing(gather), schema))
+    groups = written(docs.mapInArrow(releasing(gather), schema), clean=True)
 
     def asked(f: int, *sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The rows with a group's ascending keys of each kind and what it knows of them, by shard."""
-        edges = [_edges(keys, bits) for keys, _ in sent]
-        for s in np.flatnonzero(sum(np.diff(e) for e in edges)):
-            yield row(f, int(s), pack(*(x[e[s] : e[s + 1]] for e, kind in zip(edges, sent) for x in kind)))
+        cuts = [edges(keys, bits) for keys, _ in sent]
+        for s in np.flatnonzero(sum(np.diff(e) for e in cuts)):
+            yield row(f, int(s), pack(*(x[e[s] : e[s + 1]] for e, kind in zip(cuts, sent) for x in kind)))
 
     def ask_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A group's words and bigrams with their training counts."""
@@ -341,7 +290,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The counts of the words, if any, and for arcs only, twice those of the n-grams, and one more for the owner; n and v of the shard are in its first row."""
-        for s, asking, sent in _shards(batches):
+        for s, asking, sent in shards(batches):
             answers, n, v = [], 0, 0
             for k in range(0, len(sent[0]), 2):
                 total, place, owner = _totals([x[k] for x in sent], [x[k + 1] for x in sent])
@@ -355,7 +304,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 n = v = 0
 
     def counted(of: DataFrame, ask: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-        return _written(of.select("flush", "blob").mapInArrow(releasing(ask), plain).repartition(parts, "shard").mapInArrow(releasing(count), plain + ", n bigint, v bigint"))
+        return written(of.select("flush", "blob").mapInArrow(releasing(ask), plain).repartition(parts, "shard").mapInArrow(releasing(count), plain + ", n bigint, v bigint"), clean=True)
 
     def met(counts: DataFrame, groups: DataFrame) -> DataFrame:
         return counts.select(*names[:3], no_ids).unionByName(groups).repartition(parts, "flush")
@@ -367,20 +316,20 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     def know_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups with the counts of their words and, for each token, twice that of its bigram; one more at one token of each bigram that the group owns."""
-        for f, (out, sizes, vocabulary, index), ids, answers in _groups(batches):
+        for f, (out, sizes, vocabulary, index), ids, answers in groups_of(batches):
             words, arcs = (np.concatenate(x) for x in zip(*answers))
             _, first, place = np.unique(Grams(vocabulary, index, sizes).two, return_index=True, return_inverse=True)
             each = arcs[place] & ~1
             each[first] |= arcs & 1
             yield own(f, pack(out, sizes, vocabulary, index, words, each), ids)
 
-    known = _written(met(twos, groups).mapInArrow(releasing(know_twos), schema))
-    _drop(twos, groups)
+    known = written(met(twos, groups).mapInArrow(releasing(know_twos), schema), clean=True)
+    discard(twos, groups)
     threes = counted(known, ask_threes)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores without failure weights; by shard, the histories whose weights are missing or whose arcs the group owns, with the arcs' counts there and one word shorter, and their number."""
-        for f, (out, sizes, vocabulary, index, words, arcs), ids, answers in _groups(batches):
+        for f, (out, sizes, vocabulary, index, words, arcs), ids, answers in groups_of(batches):
             g = Grams(vocabulary, index, sizes)
             c, c2, c3 = words[index], arcs >> 1, np.zeros(len(index), np.int64)
             at, _, place = g.threes(c2)
@@ -409,17 +358,17 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 score = np.where(c3 > 0, np.log10(p3), np.where(c2 > 0, np.log10(p2), log1))
             of_rows = [np.bincount(row_of, x, len(sizes)) for x in (c > 0, log1, score)]
             yield own(f, pack(out, sizes, *of_rows, place[: len(need)][order].astype(np.uint32), np.bincount(need, minlength=len(sizes)).astype(np.uint32), whole, last), ids)
-            e = _edges(keys, bits)
+            e = edges(keys, bits)
             for s in np.flatnonzero(np.diff(e)):
                 q = slice(e[s], e[s + 1])
                 yield pa.RecordBatch.from_arrays([*row(f, int(s), pack(keys[q], *(x[q] for x in sums))).columns, pa.array([None], pa.list_(ids.type))], names)
 
-    both = _written(met(threes, known).mapInArrow(releasing(traverse), schema))
-    _drop(threes, known)
+    both = written(met(threes, known).mapInArrow(releasing(traverse), schema), clean=True)
+    discard(threes, known)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums over all arcs of each history that a group of texts asked for, in its order."""
-        for s, asking, sent in _shards(batches):
+        for s, asking, sent in shards(batches):
             keys, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
             sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(keys)).astype(np.int64)[place] for k in (1, 2, 3)]
             a = 0
@@ -433,7 +382,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each group's sums with the failure weights on the way."""
-        for _, (out, tokens, known, base, score, place, times, whole, last), ids, answers in _groups(batches):
+        for _, (out, tokens, known, base, score, place, times, whole, last), ids, answers in groups_of(batches):
             high, low, arcs = (np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(3))
             seen = (high - DISCOUNT * arcs) / np.maximum(whole, 1)
             lower = np.where(last > 0, (low - DISCOUNT * arcs) / np.maximum(last, 1), (low + 0.5 * arcs) / norm)

@@ -87,3 +87,34 @@ def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[list
             held[s].append(x)
     for s in sorted(held):
         yield s, [unpack(x) for x in held.pop(s)]
+
+
+def edges(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """First entry of each shard, and the number of entries; ``hashes`` ascend."""
+    return np.concatenate([[0], np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(hashes)]])
+
+
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """(shard, groups, what each sent) of each shard in a partition of (flush, shard, blob) rows, the groups in a fixed order."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for f, s, x in zip(*(c.to_pylist() for c in b.columns)):
+            held.setdefault(s, []).append((f, x))
+    for s in sorted(held):
+        rows = sorted(held.pop(s), key=lambda r: r[0])
+        yield s, [f for f, _ in rows], [unpack(x) for _, x in rows]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], pa.Array, list[list[np.ndarray]]]]:
+    """(flush, own arrays, ids, answers by shard) of each group in a partition of (flush, shard, blob, ids) rows; a group's own row has shard -1."""
+    own: dict[int, tuple[bytes, pa.Array]] = {}
+    answers: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for i, (f, s, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+            if s < 0:
+                own[f] = (x, b.column(3)[i].values)
+            else:
+                answers.setdefault(f, []).append((s, x))
+    for f in sorted(own):
+        x, ids = own.pop(f)
+        yield f, unpack(x), ids, [unpack(y) for _, y in sorted(answers.pop(f, []), key=lambda y: y[0])]

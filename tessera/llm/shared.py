@@ -11,29 +11,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (as in tests) takes a temporary folder;
+    on a cluster that would be another folder on each machine, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, clean: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts its lineage: a lost executor costs a read, not a recomputation.
-    The table goes when the driver's JVM ends.
+    With ``clean``, what was shuffled for it goes at once.  The table goes when
+    :func:`discard` or :func:`discard_since` says so, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    if clean:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`written` that are read no more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_tessera_path", None)) in _paths:
+            _paths.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """Where :func:`discard_since` starts: the number of tables written by now."""
+    return len(_paths)
+
+
+def discard_since(spark: SparkSession, since: int, *keep: DataFrame | None) -> None:
+    """Delete the tables written after ``since`` but for those of :func:`written` in ``keep``."""
+    kept = {getattr(df, "_tessera_path", None) for df in keep}
+    for path in _paths[since:]:
+        if path not in kept:
+            _paths.remove(path)
+            _delete(spark, path)
 
 
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

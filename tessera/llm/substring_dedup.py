@@ -3,15 +3,18 @@
 A window is a number of consecutive words.  Each window has an anchor, the
 smallest hash among its runs of eight words; equal windows have equal anchors,
 so passages are sent to shards by anchor and every repeat meets its original.
-Only passages whose anchor occurs twice or more are sent, and of equal passages
-a task sends the earliest alone, the others being repeats whatever else there
-is.  A shard indexes its passages in a compressed FM-index and streams them
-through it: backward search gives, for each window, the interval of all its
-occurrences, and every occurrence but the earliest is reported.
-
-Anchors with more than 1 / 65,536 of all passages send their windows one by one
-to shards by the windows' own hashes, so that a passage in a third of all
-documents doesn't fill a shard.
+Texts are kept in groups.  A group asks the shards which of its anchors occur
+twice or more in all texts, and sends only passages with such anchors; of equal
+passages it sends the earliest alone, the others being repeats whatever else
+there is.  A shard indexes its passages in a compressed FM-index and streams them
+through it: backward search over a wavelet tree gives, for each window, the
+interval of all its occurrences (the matching statistics, cut off at the length
+of a window), and every occurrence but the earliest is reported to its group.
+
+An anchor that occurs ``HOT`` times or more is split: its windows are sent one by
+one to shards by their own hashes, so that a passage in a third of all documents
+doesn't fill a shard.  The number is fixed, so what one anchor puts into a task
+doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -20,24 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .packs import FLUSH, bits_for, by_shard, cut, pack, send, unpack
-from .shared import partitions_for, small_batches, written
+from .packs import bits_for, cut, groups_of, pack, shards, unpack
+from .shared import discard, partitions_for, releasing, small_batches, written
 from .words import Words, mix, slices
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
-#: Bits of the filter of repeated anchors that all tasks get.  It only saves
-#: sending passages that don't repeat; too small, it lets more of them pass.
-FILTER_BITS = 27
-HOT_SHARE = 2.0**-16
+#: Occurrences from which on an anchor's windows are sent one by one.
+HOT = 4000
 #: A shard is indexed in parts, by further bits of the anchor, of about so many words.
 PART_WORDS = 150_000
 FINER_BITS = 12
-HOT_LEAST = 1000
+#: Bytes of texts in a group; a longer text is a group of its own.
+GROUP_BYTES = 8 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
@@ -75,73 +79,18 @@ def row_keys(ids: pa.Array, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return numbers, mix((sums[w.first[1:]] - sums[w.first[:-1]]) ^ mix(numbers.astype(np.uint64))).view(np.int64)
 
 
-def _positions(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each anchor, both in the region of the anchor's shard."""
-    inside = FILTER_BITS - bits
-    shard = anchor >> np.uint64(64 - bits)
-    return (anchor >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((shard << np.uint64(inside)) | (mix(anchor) & np.uint64((1 << inside) - 1))).astype(np.int64)
-
-
-def _repeated(docs: DataFrame, n: int, k: int, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(filter of the anchors that occur twice or more, as bytes; hashes of the very frequent ones)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        held: list[np.ndarray] = []
-
-        def flush() -> list[tuple[int, bytes]]:
-            a, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return [(s, pack(a[at], c[at].astype(np.uint32))) for s, at in cut(a, bits)]
-
-        for batch in batches:
-            for _, _, w in slices(batch.column(0)):
-                held.append(passages(w.hashes(), w.first, n, k)[2])
-            if sum(map(len, held)) >= FLUSH:
-                yield flush()
-        if held:
-            yield flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, blobs in by_shard(batches):
-            a, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([b[1] for b in blobs]).astype(float), len(a)).astype(np.int64)
-            inside = 1 << (FILTER_BITS - bits)
-            region = np.zeros(inside, np.uint8)
-            for p in _positions(a[c > 1], bits):
-                region[p & (inside - 1)] = 1
-            hot = c >= HOT_LEAST
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(np.packbits(region, bitorder="little"))], pa.binary()), pa.array([pack(a[hot], c[hot])], pa.binary()), pa.array([int(c.sum())])], ["shard", "region", "hot", "n"])
-
-    found = written(send(docs.select("text"), count, parts).mapInArrow(add, "shard int, region binary, hot binary, n bigint"))
-    total = found.agg(F.sum("n")).first()[0] or 0
-    least = max(HOT_LEAST, total * HOT_SHARE)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                a, c = unpack(x)
-                yield pa.RecordBatch.from_arrays([pa.array([pack(a[c >= least])], pa.binary())], ["hot"])
-
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (FILTER_BITS - bits - 3)
-    for r in found.select("shard", "region").toLocalIterator():
-        out[r.shard * size : (r.shard + 1) * size] = unpack(r.region)[0]
-    hot = [unpack(r.hot)[0] for r in found.select("hot").mapInArrow(frequent, "hot binary").collect()]
-    return out, np.sort(np.concatenate([*hot, np.zeros(0, np.uint64)]).astype(np.uint64))
-
-
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
-def _merged(uid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of a row that adjoin as one."""
-    order = np.lexsort((b, a, uid))
-    uid, a, b = uid[order], a[order], b[order]
-    if not len(uid):
-        return uid, a, b
-    new = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (a[1:] != b[:-1])))
-    return uid[new], a[new], b[np.append(new[1:], len(uid)) - 1]
+def _merged(keys: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, a, b) with the intervals of equal keys that adjoin as one."""
+    order = np.lexsort((b, a, *reversed(keys)))
+    keys, a, b = [k[order] for k in keys], a[order], b[order]
+    if not len(a):
+        return *keys, a, b
+    new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0) | (a[1:] != b[:-1])))
+    return *(k[new] for k in keys), a[new], b[np.append(new[1:], len(a)) - 1]
 
 
 def _parts(blobs: list[list[np.ndarray]]) -> Iterator[list[list[np.ndarray]]]:
@@ -155,13 +104,13 @@ def _parts(blobs: list[list[np.ndarray]]) -> Iterator[list[list[np.ndarray]]]:
         for b, c, f in zip(blobs, cuts, firsts):
             at, to = int(c[k]), int(c[k + 1])
             if to > at:
-                part.append([b[0][at:to], b[1][f[at] : f[to]], b[2], b[3][at:to], b[4][at:to], b[5][at:to]])
+                part.append([b[0][at:to], b[1][f[at] : f[to]], b[2], b[3][at:to], b[4][at:to], b[5][at:to], b[7][at:to]])
         if part:
             yield part
 
 
-def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(uid, start, end) of the windows, joined where they adjoin, that occur earlier; ``end`` is behind the last start."""
+def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, uid, start, end) of the windows, joined where they adjoin, that occur earlier; ``end`` is behind the last start."""
     words = np.unique(np.concatenate([b[2][np.unique(b[1])] for b in blobs]))
     size = np.concatenate([b[0] for b in blobs]).astype(np.int64)
     symbol = np.concatenate([np.searchsorted(words, b[2][b[1]]) for b in blobs]) + 1
@@ -219,85 +168,177 @@ def _search(blobs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarr
     row, my_start = row[earlier], my_start[earlier]
     new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (my_start[1:] != my_start[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
     stop = np.append(new[1:], len(row)) - 1 if len(new) else new
-    return uid[row[new]], my_start[new], my_start[stop] + 1
+    group = np.concatenate([b[6] for b in blobs])
+    return group[row[new]], uid[row[new]], my_start[new], my_start[stop] + 1
 
 
-def repeated_intervals(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """(uid, a, b): windows starting at the words a to b - 1 of the row occur earlier."""
-    parts = partitions_for(docs)
-    bits = bits_for(2 * parts)
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_repeated(docs, n, k, parts, bits))
+def _rows(of: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"flush": pa.int64(), "shard": pa.int32(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*of), names)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passages for the shards, and intervals of repeats within the task."""
-        bitmap, hot = known.value
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            start, size, route, key, ids, uid, word_at, words = [], [], [], [], [], [], [], []
-            shift = 0
-            for s, z, r, c, i, u, a, h in held:
-                start.append(s), size.append(z), route.append(r), key.append(c), ids.append(i), uid.append(u), word_at.append(a + shift), words.append(h)
-                shift += len(h)
-            held.clear()
-            start, size, route, key, ids, uid, word_at, words = map(np.concatenate, (start, size, route, key, ids, uid, word_at, words))
-            order = np.lexsort((start, uid, ids, key, route))
-            start, size, route, key, ids, uid, word_at = (x[order] for x in (start, size, route, key, ids, uid, word_at))
-            new = np.append(True, (key[1:] != key[:-1]) | (route[1:] != route[:-1]))
-            lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(key))))
-            again = (ids != ids[lead]) | (uid != uid[lead]) | (start != start[lead])
-            u, a, b = _merged(uid[again], start[again], (start + size - n + 1)[again])
-            if m := len(u):
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(u), pa.array(a), pa.array(b)], ["shard", "blob", "uid", "a", "b"])
-            start, size, route, ids, uid, word_at = (x[new] for x in (start, size, route, ids, uid, word_at))
-            rows = []
-            for s, at in cut(route, bits):
-                some, place = np.unique(words[_ragged(word_at[at], size[at])], return_inverse=True)
-                finer = (route[at] >> np.uint64(64 - bits - FINER_BITS)) & np.uint64((1 << FINER_BITS) - 1)
-                rows.append((s, pack(size[at].astype(np.uint16), place.astype(np.uint32), some, start[at].astype(np.uint32), ids[at], uid[at], finer.astype(np.uint16))))
-            for a in range(0, len(rows), 256):
-                part = rows[a : a + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary()), *(pa.nulls(len(part), pa.int64()) for _ in range(3))], ["shard", "blob", "uid", "a", "b"])
+def _texts(own: list[np.ndarray]) -> pa.Array:
+    """The texts of a group's own row (offsets, bytes)."""
+    offsets, data = own
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def text_groups(docs: DataFrame) -> DataFrame:
+    """(flush, shard, blob, ids): the texts of ``doc_id``, ``text`` rows in groups, compressed; ``flush`` is a group's number, ``shard`` -1."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            every = pa.concat_arrays(texts)
+            offsets = np.frombuffer(every.buffers()[1], np.int64)[every.offset : every.offset + len(every) + 1]
+            data = np.frombuffer(every.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            some = pa.concat_arrays(ids)
+            ids.clear(), texts.clear()
+            own = _rows([((task << 32) + k, -1, pack(offsets - offsets[0], data))], ["flush", "shard", "blob"])
+            return pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], ["flush", "shard", "blob", "ids"])
 
         for batch in batches:
-            for a, b, w in slices(batch.column(1)):
-                h = w.hashes()
-                s, windows, anchor = passages(h, w.first, n, k)
-                p, q = _positions(anchor, bits)
-                some = ((bitmap[p >> 3] >> (p & 7)) & (bitmap[q >> 3] >> (q & 7)) & 1).astype(bool)
-                s, windows, anchor = s[some], windows[some], anchor[some]
-                if not len(s):
-                    continue
-                ids, uid = row_keys(batch.column(0).slice(a, b - a), w, h)
-                if len(hot):
-                    is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-                    single = _ragged(s[is_hot], windows[is_hot])
-                    s, windows, anchor = np.concatenate([s[~is_hot], single]), np.concatenate([windows[~is_hot], np.ones(len(single), np.int64)]), np.concatenate([anchor[~is_hot], _rolling(h, n)[single]])
-                size = windows + n - 1
-                inside = _ragged(s, size)
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                power = _STEP ** np.arange(int(size.max()), dtype=np.uint64)
-                mine = np.arange(len(inside)) - np.repeat(first, size)
-                key = mix(np.add.reduceat(mix(h[inside]) * power[mine], first) + size.astype(np.uint64))
-                row = w.doc[s]
-                held.append((s - w.first[row], size, anchor, key, ids[row], uid[row], first, h[inside]))
-            if sum(len(x[7]) for x in held) >= 2 * FLUSH:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    both = written(docs.select("doc_id", "text").mapInArrow(run, "shard int, blob binary, uid bigint, a bigint, b bigint"))
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else []
+            at = 0
+            for i, size in enumerate(sizes):
+                if held and held + size > GROUP_BYTES:
+                    if i > at:
+                        ids.append(batch.column(0).slice(at, i - at)), texts.append(column.slice(at, i - at))
+                    yield flush()
+                    at, k, held = i, k + 1, 0
+                held += int(size) + 16
+            if at < len(column):
+                ids.append(batch.column(0).slice(at)), texts.append(column.slice(at))
+        if ids:
+            yield flush()
+
+    schema = T.StructType([T.StructField("flush", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType))])
+    return docs.select("doc_id", "text").mapInArrow(releasing(gather), schema)
+
+
+def _anchors(texts: pa.Array, n: int, k: int) -> Iterator[tuple[int, int, Words, np.ndarray, tuple[np.ndarray, ...]]]:
+    """(first row, row after the last, words, their hashes, passages) of each slice of a group."""
+    for a, b, w in slices(texts):
+        h = w.hashes()
+        yield a, b, w, h, passages(h, w.first, n, k)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_shard(batches):
-            for part in _parts(blobs):
-                u, a, b = _merged(*_search(part, n))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(a), pa.array(b)], ["uid", "a", "b"])
 
-    found = both.filter("shard IS NOT NULL").select("shard", "blob").repartition(parts, "shard").mapInArrow(search, "uid bigint, a bigint, b bigint")
-    return found.unionByName(both.filter("shard IS NULL").select("uid", "a", "b"))
+def repeated_intervals(groups: DataFrame, parts: int, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
+    """(flush, shard, blob) of (uid, a, b): in the rows ``uid`` of a group, windows starting at the words a to b - 1 occur earlier."""
+    bits = bits_for(2 * parts)
+    plain, names = "flush bigint, shard int, blob binary", ["flush", "shard", "blob"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's anchors with their counts, by shard."""
+        for batch in batches:
+            for f, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [p[2] for *_, p in _anchors(_texts(unpack(blob)), n, k)]
+                a, c = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+                if rows := [(f, s, pack(a[at], c[at].astype(np.uint32))) for s, at in cut(a, bits)]:
+                    yield _rows(rows, names)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each anchor that a group sent: 0 if it occurs once in all texts, 2 if it is split, else 1."""
+        for s, asking, sent in shards(batches):
+            _, at = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([x[1] for x in sent]).astype(float))[at]
+            flags = ((c > 1).astype(np.uint8) + (c >= HOT)).astype(np.uint8)
+            parts_ = np.split(flags, np.cumsum([len(x[0]) for x in sent])[:-1])
+            yield _rows([(f, s, pack(x)) for f, x in zip(asking, parts_)], names)
+
+    known = written(groups.select("flush", "blob").mapInArrow(releasing(ask), plain).repartition(parts, "shard").mapInArrow(releasing(answer), plain), clean=True)
+
+    def passages_of(f: int, texts: pa.Array, ids: pa.Array, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Passages for the shards, and in a row of shard -1 the repeats within the group."""
+        every = list(_anchors(texts, n, k))
+        known_anchors = np.unique(np.concatenate([*(p[2] for *_, p in every), np.zeros(0, np.uint64)]))
+        held: list[tuple[np.ndarray, ...]] = []
+        shift = 0
+        for a, b, w, h, (s, windows, anchor) in every:
+            flag = flags[np.searchsorted(known_anchors, anchor)] if len(anchor) else np.zeros(0, np.uint8)
+            some = flag > 0
+            if not some.any():
+                continue
+            s, windows, anchor, hot = s[some], windows[some], anchor[some], flag[some] == 2
+            numbers, uid = row_keys(ids.slice(a, b - a), w, h)
+            if hot.any():
+                single = _ragged(s[hot], windows[hot])
+                s, windows, anchor = np.concatenate([s[~hot], single]), np.concatenate([windows[~hot], np.ones(len(single), np.int64)]), np.concatenate([anchor[~hot], _rolling(h, n)[single]])
+            size = windows + n - 1
+            inside = _ragged(s, size)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            power = _STEP ** np.arange(int(size.max()), dtype=np.uint64)
+            mine = np.arange(len(inside)) - np.repeat(first, size)
+            key = mix(np.add.reduceat(mix(h[inside]) * power[mine], first) + size.astype(np.uint64))
+            row = w.doc[s]
+            held.append((s - w.first[row], size, anchor, key, numbers[row], uid[row], first + shift, h[inside]))
+            shift += len(inside)
+        every.clear()
+        if not held:
+            return
+        start, size, route, key, numbers, uid, word_at, words = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((start, uid, numbers, key, route))
+        start, size, route, key, numbers, uid, word_at = (x[order] for x in (start, size, route, key, numbers, uid, word_at))
+        new = np.append(True, (key[1:] != key[:-1]) | (route[1:] != route[:-1]))
+        lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(key))))
+        again = (numbers != numbers[lead]) | (uid != uid[lead]) | (start != start[lead])
+        if again.any():
+            yield _rows([(f, -1, pack(*_merged((uid[again],), start[again], (start + size - n + 1)[again])))], names)
+        start, size, route, numbers, uid, word_at = (x[new] for x in (start, size, route, numbers, uid, word_at))
+        rows = []
+        for s, at in cut(route, bits):
+            some, place = np.unique(words[_ragged(word_at[at], size[at])], return_inverse=True)
+            finer = (route[at] >> np.uint64(64 - bits - FINER_BITS)) & np.uint64((1 << FINER_BITS) - 1)
+            rows.append((f, s, pack(size[at].astype(np.uint16), place.astype(np.uint32), some, start[at].astype(np.uint32), numbers[at], uid[at], finer.astype(np.uint16))))
+        for a in range(0, len(rows), 256):
+            yield _rows(rows[a : a + 256], names)
+
+    def send_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, own, ids, answers in groups_of(batches):
+            yield from passages_of(f, _texts(own), ids, np.concatenate([*(x[0] for x in answers), np.zeros(0, np.uint8)]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for f, s, x in zip(*(c.to_pylist() for c in b.columns[:3])):
+                if s < 0:
+                    yield _rows([(f, 0, x)], names)
+                else:
+                    held.setdefault(s, []).append((f, x))
+        for s in sorted(held):
+            blobs = [(f, unpack(x)) for f, x in sorted(held.pop(s))]
+            found = [_search(part, n) for part in _parts([[*b, np.full(len(b[0]), f)] for f, b in blobs])]
+            f, u, a, b = (np.concatenate(x) for x in zip(*found))
+            f, u, a, b = _merged((f, u), a, b)
+            at = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else []
+            rows = [(int(f[i]), s, pack(u[i:j], a[i:j], b[i:j])) for i, j in zip(at, np.append(at[1:], len(f)) if len(f) else [])]
+            for i in range(0, len(rows), 256):
+                yield _rows(rows[i : i + 256], names)
+
+    meet = known.select(*names, F.lit(None).cast(groups.schema["ids"].dataType).alias("ids")).unionByName(groups).repartition(parts, "flush")
+    # A row of shard -1 passes the shards on its way to its group.
+    sent = meet.mapInArrow(releasing(send_passages), plain).repartition(parts, F.when(F.col("shard") < 0, F.hash("flush")).otherwise(F.col("shard")))
+    found = written(sent.mapInArrow(releasing(search), plain), clean=True)
+    discard(known)
+    return found
+
+
+def _kept(w: Words, uid: np.ndarray, gaps: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, list[str]]:
+    """(words removed, text left) of each row of a slice; ``gaps``: (uid, a, b) by uid."""
+    low, high = np.searchsorted(gaps[0], uid, "left"), np.searchsorted(gaps[0], uid, "right")
+    at = _ragged(low, high - low)
+    row = np.repeat(np.arange(w.rows), high - low)
+    count = np.zeros(len(w) + w.rows + 1, np.int64)  # differences, with a place more for each row
+    base = (w.first[:-1] + np.arange(w.rows))[row]
+    np.add.at(count, base + gaps[1][at], 1)
+    np.subtract.at(count, base + np.minimum(gaps[2][at] + n - 1, w.count[row]), 1)
+    gone = np.cumsum(count)[np.arange(len(w)) + w.doc] > 0
+    raw, left = w.data.tobytes(), np.flatnonzero(~gone)
+    s, e, d = w.start[left].tolist(), w.end[left].tolist(), np.searchsorted(w.doc[left], np.arange(w.rows + 1)).tolist()
+    return np.bincount(w.doc, gone, w.rows).astype(np.int64), [b" ".join([raw[x:y] for x, y in zip(s[d[i] : d[i + 1]], e[d[i] : d[i + 1]])]).decode() for i in range(w.rows)]
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
@@ -310,38 +351,19 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     """
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
-    gaps = repeated_intervals(docs, n, k).groupBy("uid").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-
-    @F.arrow_udf("bigint")
-    def uid(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        out = [np.zeros(0, np.int64)]
-        for a, b, w in slices(texts):
-            out.append(row_keys(ids.slice(a, b - a), w, w.hashes())[1])
-        return pa.array(np.concatenate(out))
-
-    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-    @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
-    def strip(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        rows = []
-        for lo, hi, w in slices(texts):
-            count = np.zeros(len(w) + w.rows + 1, np.int64)  # differences, with a place more for each row
-            for i in range(w.rows):
-                a, b = starts[lo + i].values, ends[lo + i].values
-                if a is not None and len(a):
-                    base = w.first[i] + i
-                    np.add.at(count, base + a.to_numpy(), 1)
-                    np.subtract.at(count, base + np.minimum(b.to_numpy() + n - 1, w.first[i + 1] - w.first[i]), 1)
-            gone = (np.cumsum(count)[np.arange(len(w)) + w.doc]) > 0
-            removed = np.bincount(w.doc, gone, w.rows).astype(np.int64)
-            raw = w.data.tobytes()
-            left = np.flatnonzero(~gone)
-            s, e, d = w.start[left].tolist(), w.end[left].tolist(), np.searchsorted(w.doc[left], np.arange(w.rows + 1)).tolist()
-            for i in range(w.rows):
-                kept = b" ".join([raw[x:y] for x, y in zip(s[d[i] : d[i + 1]], e[d[i] : d[i + 1]])]).decode()
-                rows.append((int(w.count[i]), int(removed[i]), kept))
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], fields=list(kind))
-
-    # Texts are shuffled once, by a key of their own, to meet their intervals; the small side is hashed.
-    x = docs.withColumn("uid", uid(F.col("doc_id"), F.col("text"))).join(gaps.hint("shuffle_hash"), "uid", "left")
-    return x.select("doc_id", strip(F.col("text"), F.col("a"), F.col("b")).alias("x")).select("doc_id", "x.*")
+    parts = partitions_for(docs)
+    groups = written(text_groups(docs))
+    gaps = repeated_intervals(groups, parts, n, k)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, ids, found in groups_of(batches):
+            u, a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i].astype(np.int64) for x in found)]) for i in range(3))
+            order = np.argsort(u, kind="stable")
+            for lo, hi, w in slices(_texts(own)):
+                some = ids.slice(lo, hi - lo)
+                removed, kept = _kept(w, row_keys(some, w, w.hashes())[1], (u[order], a[order], b[order]), n)
+                yield pa.RecordBatch.from_arrays([some, pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())], schema.names)
+
+    meet = gaps.select("*", F.lit(None).cast(groups.schema["ids"].dataType).alias("ids")).unionByName(groups).repartition(parts, "flush")
+    return meet.mapInArrow(releasing(strip), schema)
