@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -19,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame | None:
     labels = None
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        point = written(point)
-        again = point.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        point = written(point.join(again, "p", "left").select("a", F.coalesce("q", "p").alias("p")))
+        first = written(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        again = first.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        point = written(first.join(again, "p", "left").select("a", F.coalesce("q", "p").alias("p")))
+        old, was = labels, e
         if labels is None:
             labels = point.select(F.col("a").alias("v"), F.col("p").alias("root"))
         else:
@@ -30,4 +30,6 @@ def components(edges: DataFrame) -> DataFrame | None:
         labels = written(labels)
         left, right = point.select("a", F.col("p").alias("x")), point.select(F.col("a").alias("b"), F.col("p").alias("y"))
         e = written(e.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
+        discard(first, point, old, was)
+    discard(e)
     return labels

@@ -5,14 +5,20 @@ Shingles are ordered by the number of classes that have them; by the prefix
 filter two similar sets share one of their rarest shingles, so a set most of
 whose rare shingles are its own has no partner and leaves at once.
 
-The index has a list for each prefix shingle, in blocks by set size; blocks of
-sizes that can't be similar, and positions after which too few shingles are
-left, are skipped.  A set's answers are derived from those of a similar one:
-each list is first compared only with its most central set, whose links join
-most of a group of near copies into a component; sets of one component need no
-further comparison within it.  Only what is left between components is compared
-pair by pair, and every pair is verified on the whole sets, so no link between
-different components is lost.
+The index has a list for each prefix shingle, in blocks by set size, and a set is
+in it only up to the position after which too few shingles are left for a
+partner of its own size or larger; a set looks, over its longer prefix, into the
+lists of its own and the next smaller block.  So what can't be similar by size or
+position is skipped before a pair is made.
+
+A set's answers are derived from those of a highly similar one.  Each list is
+first compared only with its most central set; these overlaps are kept.  They
+join most of a group of near copies into a component, and sets of one component
+need no further comparison within it.  Of the pairs left between components, the
+overlaps with a common central set accept or reject most: |x & y| is at least
+|x & c| + |y & c| - |c|, and at most the lesser overlap plus the lesser
+remainder.  Only the pairs left open are compared on the whole sets, so no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -21,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .packs import bits_for, by_shard, cut, pack, send
-from .shared import partitions_for, releasing, small_batches, written
+from .shared import discard, discard_since, mark, partitions_for, releasing, small_batches, written
 from .words import Words, grams, mix, slices
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 STAR_ROUNDS = 2
 #: Shingles that a task gathers before it sends them.
-FLUSH = 600_000
+FLUSH = 500_000
 
 _WHOLE_INT = 0x5851F42D4C957F2D
 _WHOLE = np.uint64(_WHOLE_INT)
@@ -76,8 +83,6 @@ def class_keys(g: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def set_classes(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``k``, the key of the class of equal sets (null for an empty set)."""
-    import pyspark.sql.types as T
-
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("k", T.LongType())])
 
@@ -217,8 +222,7 @@ def links(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUND
     # Block: sets whose sizes may be similar are in the same or in neighbouring blocks.
     index = index.withColumn("block", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
     index = written(index)
-    roots = None
-    edges = None
+    roots = edges = centres = None
 
     def with_roots(x: DataFrame, k: str = "k", name: str = "root") -> DataFrame:
         if roots is None:
@@ -226,26 +230,28 @@ def links(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUND
         r = roots.select(F.col("v").alias("_v"), F.col("root").alias("_r"))
         return x.join(r, F.col(k) == F.col("_v"), "left").withColumn(name, F.coalesce("_r", k)).drop("_v", "_r")
 
+    def need(a: str, b: str) -> str:
+        return f"ceil({percent} * ({a} + {b}) / {100 + percent})"
+
     def possible(a: str, b: str) -> str:
         """Size and position filters: can sets of these sizes, with this many shingles left, overlap enough?"""
-        need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
-        return f"100 * {a}.n >= {percent} * {b}.n AND 100 * {b}.n >= {percent} * {a}.n AND least({a}.rest, {b}.rest) >= {need}"
+        return f"100 * {a}.n >= {percent} * {b}.n AND 100 * {b}.n >= {percent} * {a}.n AND least({a}.rest, {b}.rest) >= {need(f'{a}.n', f'{b}.n')}"
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """``a``, ``b``, their sizes and ``i``, the size of their intersection."""
         x = sets.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
         y = sets.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-        both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
-        return both.filter(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("i"))
+
+    similar = f"100 * i >= {percent} * (na + nb - i)"
 
-    def add(found: DataFrame) -> bool:
+    def add(found: DataFrame) -> None:
         nonlocal roots, edges
         found = written(found)
-        if found.isEmpty():
-            return False
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        return True
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            old, roots = roots, components(edges)
+            discard(old)
 
     def mixed(x: DataFrame) -> DataFrame:
         """The entries of lists that hold more than one component; in the others nothing is left to find."""
@@ -265,24 +271,51 @@ def links(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUND
             break
         lead = e.groupBy("tok", "block").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("o"), "k", "n", "rest", "root")).alias("l"))
         lead = lead.select("tok", "l.*", F.explode(F.array("block", F.col("block") + 1, F.col("block") - 1)).alias("block"))
-        pairs = e.alias("e").join(lead.alias("l"), ["tok", "block"]).filter(F.expr("e.root != l.root AND " + possible("e", "l"))).select(F.col("e.k").alias("a"), F.col("l.k").alias("b"))
-        add(verified(pairs))
+        pairs = e.alias("e").join(lead.alias("l"), ["tok", "block"]).filter(F.expr("e.root != l.root AND " + possible("e", "l"))).select(F.col("e.k").alias("a"), F.col("l.k").alias("b")).distinct()
+        known = written(overlaps(written(pairs)))
+        # Each set's most similar central set of the round.
+        best = known.groupBy("a").agg(F.max(F.struct((F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("s"), F.col("b").alias("c"), "i", F.col("nb").alias("nc"))).alias("m")).select(F.col("a").alias("k"), "m.c", "m.i", "m.nc")
+        own = known.select(F.col("b").alias("k"), F.col("b").alias("c"), F.col("nb").alias("i"), F.col("nb").alias("nc")).distinct()
+        centres = best.unionByName(own) if centres is None else centres.unionByName(best).unionByName(own)
+        add(known.filter(similar).select("a", "b"))
         entries = minority(with_roots(e.drop("root"))).drop("root")
+        discard(e)
     e = mixed(index)
     if e.isEmpty():
         return roots
-    pairs = minority(e).alias("m").join(e.alias("e"), "tok").filter(F.expr("e.root != m.root AND abs(e.block - m.block) <= 1 AND " + possible("e", "m")))
-    add(verified(pairs.select(F.col("m.k").alias("a"), F.col("e.k").alias("b"))))
+    few = minority(e)
+    # A set looks for partners of its own size or smaller; those are indexed by the positions that leave enough.
+    short = f"rest >= {need('n', 'n')}"
+
+    def met(looking: DataFrame, listed: DataFrame) -> DataFrame:
+        listed = listed.filter(short).select("tok", "k", "n", "rest", "root", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+        found = looking.alias("x").join(listed.alias("y"), ["tok", "block"]).filter(F.expr("x.root != y.root AND y.n <= x.n AND " + possible("x", "y")))
+        return found.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), F.when(F.col("x.k") < F.col("y.k"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.k") < F.col("y.k"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
+
+    pairs = written(met(few, e).unionByName(met(e, few)).distinct())
+    if centres is not None:
+        of = written(centres.distinct())
+        x, y = of.select(F.col("k").alias("a"), "c", F.col("i").alias("ia"), "nc"), of.select(F.col("k").alias("b"), "c", F.col("i").alias("ib"))
+        bounds = pairs.join(x, "a").join(y, ["b", "c"]).groupBy("a", "b").agg(
+            F.max(F.expr("ia + ib - nc")).alias("least"), F.min(F.expr("least(ia, ib) + least(na - ia, nb - ib)")).alias("most")
+        )
+        pairs = written(pairs.join(bounds, ["a", "b"], "left").withColumn("need", F.expr(need("na", "nb"))).filter("most IS NULL OR most >= need").withColumn("sure", F.expr("coalesce(least >= need, false)")))
+    else:
+        pairs = pairs.withColumn("sure", F.lit(False))
+    add(pairs.filter("sure").select("a", "b").unionByName(overlaps(pairs.filter("NOT sure").select("a", "b")).filter(similar).select("a", "b")))
     return roots
 
 
 def keep_one_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id.
 
-    Rows that repeat an id count as one document; rows without an id all stay.
+    Rows that repeat an id count as one document, of which the row stays whose
+    text, and then whose other columns, come first; rows without an id all stay.
     """
     kept = jaccard_components(docs.select("doc_id", "text"), n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    order = ["text", *(f.name for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType)))]
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*(F.col(f"`{c}`") for c in order))).alias("_row"))
+    return rows.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -295,7 +328,9 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     """
     small_batches(docs.sparkSession)
     classes = written(set_classes(docs, n))
-    roots = links(written(shared_shingles(docs, n, percent)), percent)
+    since = mark()
+    roots = links(written(shared_shingles(docs, n, percent), clean=True), percent)
+    discard_since(docs.sparkSession, since, roots)
     some = classes.filter(F.col("k").isNotNull())
     some = some.withColumn("root", F.col("k")) if roots is None else some.join(roots, F.col("k") == F.col("v"), "left").withColumn("root", F.coalesce("root", "k"))
     # Two sets of one key differ in size, but for accidents of the hash.
