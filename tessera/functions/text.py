@@ -22,9 +22,29 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.floor(n * 2 / 1024) >= 10, F.ceil(n / 8))
 
 
+#: Symbols that stand for words in a slug, those that go, and those that a name of a workspace adds or takes out.
+SYMBOLS = {"&": "and", "$": "dollar", "%": "percent", "<": "less", ">": "greater", "|": "or", "€": "euro", "£": "pound", "©": "(c)", "®": "(r)"}
+SPELLED = {"+": " plus ", "!": " bang ", "@": " at ", "*": " splat ", ".": " dot ", ":": "", "~": "", "(": "", ")": "", "'": "", '"': "", "|": ""}
+
+
+def slug_cased(text: Column, symbols: dict[str, str] | None = None) -> Column:
+    """Words of ASCII letters and digits joined by a dash; symbols are spelled out, accents taken off."""
+    out = text
+    for c, word in {**SYMBOLS, **(symbols or {})}.items():
+        out = F.replace(out, F.lit(c), F.lit(word))
+    out = F.translate(out, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY")
+    kept = F.trim(F.regexp_replace(out, r"[^\w\s$*+~.()'\"!\-:@]+", ""))
+    return F.regexp_replace(kept, r"\s+", "-")
+
+
 def slug(text: Column) -> Column:
-    """Lower case, words of letters and digits joined by a dash."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    """:func:`slug_cased` in lower case."""
+    return F.lower(slug_cased(text))
+
+
+def workspace_slug(name: Column) -> Column:
+    """A name of letters, digits and dashes, symbols spelled out."""
+    return F.lower(slug_cased(name, SPELLED))
 
 
 def safe_filename(name: Column) -> Column:
@@ -56,9 +76,11 @@ def source_identifier(title: Column, published: Column) -> Column:
 
 
 def chunk_source(value: Column) -> Column:
-    """struct(type, source) of 'type://source'; both null without '://'."""
+    """struct(type, source) of 'type://source', split at the first '://'; of confluence and github sources the query goes.  Both null without '://'."""
     has = F.instr(value, "://") > 0
-    return F.struct(F.when(has, F.substring_index(value, "://", 1)).alias("type"), F.when(has, F.regexp_extract(value, r"^.*?://(.*)$", 1)).alias("source"))
+    kind = F.substring_index(value, "://", 1)
+    rest = F.regexp_extract(value, r"(?s)^.*?://(.*)$", 1)
+    return F.struct(F.when(has, kind).alias("type"), F.when(has, F.when(kind.isin("confluence", "github"), F.regexp_replace(rest, r"(?s)\?.*$", "")).otherwise(rest)).alias("source"))
 
 
 def valid_url(url: Column) -> Column:
@@ -87,7 +109,36 @@ def gigabytes(n: Column) -> Column:
     return F.floor(n / 1e9)
 
 
+def camel_case(text: Column) -> Column:
+    """Words, cut at other characters and before capitals, joined with capitals inside."""
+    spaced = F.regexp_replace(F.regexp_replace(F.trim(text), r"([a-z0-9])([A-Z])", "$1 $2"), r"[_.\- ]+", " ")
+    words = F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))), "")
+
+
+def long_time(at: Column) -> Column:
+    return F.date_format(at, "h:mm:ss a")
+
+
+def long_date(at: Column) -> Column:
+    return F.date_format(at, "MMMM d, yyyy")
+
+
+def long_datetime(at: Column) -> Column:
+    return F.date_format(at, "EEEE, MMMM d, yyyy h:mm a")
+
+
+def shown_time(ms: Column, now: Column) -> Column:
+    """Milliseconds, as text, as a local time; the present one for what is no number."""
+    return F.date_format(F.coalesce(F.timestamp_millis(ms.try_cast("bigint")), now), "M/d/yyyy, h:mm:ss a")
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 def json_value(text: Column, path: str) -> Column:
-    """The value at a path of dots, [n] and ['key']; the empty string for what is no JSON object, null where it is missing."""
-    good = F.try_parse_json(text).isNotNull() & F.trim(text).rlike(r"^[{\[]")
-    return F.when(good, F.get_json_object(text, "$." + path.lstrip("."))).otherwise(F.lit(""))
+    """The value at a path of dots, [n] and ['key']: see :func:`tessera.functions.json.value_at`."""
+    from .json import value_at
+
+    return value_at(text, path)

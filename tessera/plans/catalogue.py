@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,15 +29,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    for name in ("listings", "prompts", "corpus"):
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
+def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("namespace"), F.col("embedding").alias("vector"))
 
 
@@ -45,46 +54,46 @@ _SIM = "CASE WHEN dist IS NULL THEN 0.0 WHEN dist >= 1.0 THEN 1.0 WHEN dist < 0
 _COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format(a="e.embedding", b="q.embedding")} AS dist FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id = 0),
-r AS (SELECT *, row_number() OVER (ORDER BY dist, id) AS rank FROM s) SELECT id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25""")
+# Every row whose id is divisible by 20 is a query, against all rows.
+_EACH = f"SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS.format(a='e.embedding', b='q.embedding')} AS dist FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0"
+_RANKED = f"WITH s AS ({_EACH}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s)"
+
+
+@query(f"{_RANKED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25")
 def vector_topn(s, d):
-    v = _vectors(s, d)
-    q = v.filter("id = 0").select(F.col("id").alias("query_id"), "namespace", F.col("vector").alias("query"))
-    return vector.search(v, q).select("id", "rank", F.round("score", 6).alias("score"))
+    v = vectors(s, d)
+    return vector.search_many(v, v.filter("id % 20 = 0")).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1),
-s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format(a="e.embedding", b="q.embedding")} AS dist FROM embeddings e JOIN q ON e.label = q.label),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25""")
-def vector_topn_all_namespaces(s, d):
-    v = _vectors(s, d)
-    q = v.groupBy("namespace").agg(F.min_by("vector", "id").alias("query"), F.min("id").alias("query_id"))
+@query(f"{_RANKED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25")
+def vector_topn_expressions(s, d):
+    """The same in built-in expressions, without Python."""
+    v = vectors(s, d)
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "namespace", F.col("vector").alias("query"))
     return vector.search(v, q).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH s AS (SELECT e.vec_id AS id, {_COS.format(a="e.embedding", b="q.embedding")} AS dist FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id = 0),
-r AS (SELECT *, row_number() OVER (ORDER BY dist, id) AS rank FROM s) SELECT id FROM r WHERE rank <= 4 AND {_SIM} >= 0.1 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+@query(f"{_RANKED} SELECT query_id, id FROM r WHERE rank <= 4 AND {_SIM} >= 0.1 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def vector_search_pinned(s, d):
-    v = _vectors(s, d)
-    q = v.filter("id = 0").select(F.col("id").alias("query_id"), "namespace", F.col("vector").alias("query"))
-    return vector.search(v, q, threshold=0.1, pinned=table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))).select("id")
+    v = vectors(s, d)
+    pinned = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    return vector.search_many(v, v.filter("id % 20 = 0"), threshold=0.1, pinned=pinned).select("query_id", "id")
 
 
-@query("""SELECT e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS l2,
+@query("""SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS l2,
 round(-list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS inner_product, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: abs(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))), 6) AS l1
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q""")
 def vector_distances(s, d):
-    v = _vectors(s, d)
-    q = v.filter("id = 0").select(vector.as_doubles(F.col("vector")).alias("q"))
-    x = v.select("id", vector.as_doubles(F.col("vector")).alias("v")).join(F.broadcast(q.limit(1)))
+    v = vectors(s, d).select("id", vector.as_doubles(F.col("vector")).alias("v"))
+    x = v.crossJoin(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
     a, b = F.col("v"), F.col("q")
-    return x.select("id", F.round(vector.cosine_distance(a, b), 6).alias("cosine"), F.round(vector.l2_distance(a, b), 6).alias("l2"), F.round(-vector.dot(a, b), 6).alias("inner_product"), F.round(vector.l1_distance(a, b), 6).alias("l1"))
+    return x.select("query_id", "id", F.round(vector.cosine_distance(a, b), 6).alias("cosine"), F.round(vector.l2_distance(a, b), 6).alias("l2"), F.round(-vector.dot(a, b), 6).alias("inner_product"), F.round(vector.l1_distance(a, b), 6).alias("l1"))
 
 
 @query("""SELECT vec_id AS id, round(CASE WHEN n = 0 THEN v[1] ELSE v[1] / n END, 6) AS first, round(CASE WHEN n = 0 THEN v[len(v)] ELSE v[len(v)] / n END, 6) AS last FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)""")
 def vector_normalize(s, d):
     n = F.col("n")
-    return _vectors(s, d).select("id", vector.normalize(vector.as_doubles(F.col("vector"))).alias("n")).select("id", F.round(F.element_at(n, 1), 6).alias("first"), F.round(F.element_at(n, -1), 6).alias("last"))
+    return vectors(s, d).select("id", vector.normalize(vector.as_doubles(F.col("vector"))).alias("n")).select("id", F.round(F.element_at(n, 1), 6).alias("first"), F.round(F.element_at(n, -1), 6).alias("last"))
 
 
 @query(f"SELECT event_id, round({_SIM.replace('dist', 'x')}, 6) AS score FROM (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE value / 10 - 1 END AS x FROM events)")
@@ -93,59 +102,17 @@ def distance_to_similarity(s, d):
     return table(s, d, "events").select("event_id", F.round(vector.similarity(x), 6).alias("score"))
 
 
-@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), q AS (SELECT label, min(vec_id) AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
-s AS (SELECT q.query_id, e.vec_id AS id, greatest(10, least(50, ceil(c.n * 0.1))) AS m, row_number() OVER (PARTITION BY q.query_id ORDER BY 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.qv AS DOUBLE[])), e.vec_id) AS r FROM embeddings e JOIN q USING (label) JOIN c USING (label))
-SELECT query_id, id FROM s WHERE r <= m""")
-def rerank_candidates(s, d):
-    v = _vectors(s, d)
-    q = v.groupBy("namespace").agg(F.min_by("vector", "id").alias("query"), F.min("id").alias("query_id"), vector.rerank_limit(F.count(F.lit(1))).alias("m"))
-    x = v.join(q, "namespace").withColumn("dist", vector.cosine_distance(vector.as_doubles(F.col("vector")), vector.as_doubles(F.col("query"))))
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).filter("r <= m").select("query_id", "id")
-
-
-# The searches with every row whose id is divisible by 20 as a query.
-
-_EACH = f"SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS.format(a='e.embedding', b='q.embedding')} AS dist FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0"
-
-
-@query(f"""WITH s AS ({_EACH}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s)
-SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round({_SIM}, 6) AS score FROM r WHERE rank <= 4 AND {_SIM} >= 0.25""")
-def vector_topn_many(s, d):
-    v = _vectors(s, d)
-    return vector.search_many(v, v.filter("id % 20 = 0")).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH s AS ({_EACH}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM s)
-SELECT query_id, id FROM r WHERE rank <= 4 AND {_SIM} >= 0.1 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
-def vector_search_pinned_many(s, d):
-    v = _vectors(s, d)
-    pinned = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    return vector.search_many(v, v.filter("id % 20 = 0"), threshold=0.1, pinned=pinned).select("query_id", "id")
-
-
-@query("""SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS l2,
-round(-list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS inner_product, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: abs(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))), 6) AS l1
-FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q""")
-def vector_distances_many(s, d):
-    v = _vectors(s, d).select("id", vector.as_doubles(F.col("vector")).alias("v"))
-    x = v.crossJoin(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    a, b = F.col("v"), F.col("q")
-    return x.select("query_id", "id", F.round(vector.cosine_distance(a, b), 6).alias("cosine"), F.round(vector.l2_distance(a, b), 6).alias("l2"), F.round(-vector.dot(a, b), 6).alias("inner_product"), F.round(vector.l1_distance(a, b), 6).alias("l1"))
-
-
 @query(f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS ({_EACH}),
 r AS (SELECT query_id, id, greatest(10, least(50, ceil(c.n * 0.1))) AS m, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM s JOIN c USING (label))
 SELECT query_id, id FROM r WHERE r <= m""")
-def rerank_candidates_many(s, d):
-    v = _vectors(s, d)
-    q = v.filter("id % 20 = 0")
-    most = v.groupBy("namespace").agg(vector.rerank_limit(F.count(F.lit(1))).alias("m")).join(q.select("namespace", F.col("id").alias("query_id")), "namespace")
-    return vector.nearest(v, q, 50).join(most.select("query_id", "m"), "query_id").filter("rank <= m").select("query_id", "id")
+def rerank_candidates(s, d):
+    v = vectors(s, d)
+    return vector.candidates(v, v.filter("id % 20 = 0")).select("query_id", "id")
 
 
 @query("SELECT label AS namespace, count(*) AS vectors FROM embeddings GROUP BY GROUPING SETS ((label), ())")
 def namespace_counts(s, d):
-    return _vectors(s, d).rollup("namespace").agg(F.count(F.lit(1)).alias("vectors"))
+    return vectors(s, d).rollup("namespace").agg(F.count(F.lit(1)).alias("vectors"))
 
 
 # --- documents and text
@@ -177,7 +144,7 @@ def url_validity(s, d):
     return table(s, d, "pages").select("page_id", X.valid_url(F.col("url")).alias("valid"))
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(p_name || ':' || p_type, '[<>:\"/\\|?*]', '', 'g') AS filename, '/' || lower(regexp_replace(p_name, '[^a-zA-Z0-9_-]', '-', 'g')) AS command FROM part")
+@query(r"SELECT p_partkey, replace(lower(p_name || ' and ' || p_type), ' ', '-') AS slug, regexp_replace(p_name || ':' || p_type, '[<>:\"/\\|?*]', '', 'g') AS filename, '/' || lower(regexp_replace(p_name, '[^a-zA-Z0-9_-]', '-', 'g')) AS command FROM part")
 def slugify(s, d):
     n, t = F.col("p_name"), F.col("p_type")
     return table(s, d, "part").select("p_partkey", X.slug(F.concat(n, F.lit(" & "), t)).alias("slug"), X.safe_filename(F.concat(n, F.lit(":"), t)).alias("filename"), X.command(n).alias("command"))
@@ -238,14 +205,14 @@ _ORDER = "o_orderdate DESC, o_orderkey"
 
 @query("SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) > 60 AS has_pages FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def paged_listing(s, d):
-    rows, more = relational.page(table(s, d, "orders"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 2, 20)
-    return rows.select("o_orderkey", "o_custkey", F.lit(more).alias("has_pages"))
+    return relational.page(table(s, d, "orders"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 2, 20).select("o_orderkey", "o_custkey", F.col("has_more").alias("has_pages"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey <= 5000 AND o_custkey <> 7 AND o_orderdate >= TIMESTAMP '1995-01-01'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_totalprice <= 100000 AND o_custkey <> 7 AND o_orderdate >= TIMESTAMP '1995-01-01'")
 def filtered_listing(s, d):
-    x = relational.where(table(s, d, "orders"), [relational.Eq("o_orderstatus", "F"), relational.Among("o_orderpriority", ("1-URGENT", "5-LOW"))])
-    return x.filter("o_orderkey <= 5000 AND o_custkey != 7 AND o_orderdate >= TIMESTAMP '1995-01-01'").select("o_orderkey")
+    since = datetime(1995, 1, 1)
+    clauses = [relational.Eq("o_orderstatus", "F"), relational.Among("o_orderpriority", ("1-URGENT", "5-LOW")), relational.Compare("o_totalprice", "<=", 100000.0), relational.Compare("o_custkey", "!=", 7), relational.Compare("o_orderdate", ">=", since)]
+    return relational.where(table(s, d, "orders"), clauses).select("o_orderkey")
 
 
 @query("SELECT o.o_orderkey, coalesce(c.c_name, 'unknown user') AS username, coalesce(n.n_name, 'deleted workspace') AS workspace FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")

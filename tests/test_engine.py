@@ -108,10 +108,10 @@ def test_searches_take_every_20th_row_as_a_query(spark):
         same = np.flatnonzero(of == of[i])
         nearest[int(ids[i])] = sorted((round(1 - float(v[i] @ v[j]), 12), int(ids[j])) for j in same)
     q = queries()
-    got = {(r.query_id, r.id): r.score for r in q["vector_topn_many"](spark, DATA).collect()}
+    got = {(r.query_id, r.id): r.score for r in q["vector_topn"](spark, DATA).collect()}
     expected = {(i, j): 1 - d for i, x in nearest.items() for d, j in x[:4] if 1 - d >= 0.25}
     assert got.keys() == expected.keys() and all(abs(got[k] - min(expected[k], 1)) < 1e-5 for k in got)
     pinned = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 1").collect()}
-    assert {tuple(r) for r in q["vector_search_pinned_many"](spark, DATA).collect()} == {(i, j) for i, x in nearest.items() for d, j in x[:4] if 1 - d >= 0.1 and j not in pinned}
-    assert {tuple(r) for r in q["rerank_candidates_many"](spark, DATA).collect()} == {(i, j) for i, x in nearest.items() for _, j in x[: max(10, min(50, -(-len(x) // 10)))]}
-    assert q["vector_distances_many"](spark, DATA).select("query_id", "id").distinct().count() == len(nearest) * len(ids)
+    assert {tuple(r) for r in q["vector_search_pinned"](spark, DATA).collect()} == {(i, j) for i, x in nearest.items() for d, j in x[:4] if 1 - d >= 0.1 and j not in pinned}
+    assert {tuple(r) for r in q["rerank_candidates"](spark, DATA).collect()} == {(i, j) for i, x in nearest.items() for _, j in x[: max(10, min(50, -(-len(x) // 10)))]}
+    assert q["vector_distances"](spark, DATA).select("query_id", "id").distinct().count() == len(nearest) * len(ids)
