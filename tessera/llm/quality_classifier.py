@@ -135,13 +135,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Fit to at most ``sample_rows`` labelled rows, never to held-out ones.
 
     A document labelled more than once counts once, by the majority, 1 on a tie;
-    null labels are ignored.  Without rows of both labels the model is constant.
+    null labels are ignored; of rows of one id the one with the least features counts.  Without rows of both labels the model is constant.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.select("doc_id", "quality", feature_column(F.col("text")).alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample_rows).collect()
+    rows = rows.select("doc_id", "quality", feature_column(F.col("text")).alias("x")).groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").limit(sample_rows).collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     return fit_additive(x, np.array([r.quality for r in rows], float))
 
