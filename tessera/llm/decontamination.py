@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import releasing, small_batches
@@ -206,11 +206,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
         yield sorted(part.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))
 
 
-def leak_column(text: Column, items: Items) -> Column:
-    """An array of (item, score, share) for each text; empty for a clean, null or empty one."""
+def leak_column(text: Column, block: Items, spark: SparkSession) -> Column:
+    """An array of (item, score, share) for each text; empty for a clean, null or empty one.  The block, of bounded size, is broadcast once."""
+    sent = spark.sparkContext.broadcast(block)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int64()), ("share", pa.float64())]))
 
     def of(texts: pa.Array) -> pa.Array:
+        items = sent.value
         out: list[list] = [[] for _ in range(len(texts))]
         for first, _, w in slices(texts):
             for r, t, s in matches(w, items):
@@ -233,7 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     out = None
     for rows in _blocks(benchmark):
-        found = docs.select("doc_id", F.explode(leak_column(F.col("text"), choose_seeds(docs, rows))).alias("x")).select("doc_id", "x.*")
+        found = docs.select("doc_id", F.explode(leak_column(F.col("text"), choose_seeds(docs, rows), docs.sparkSession)).alias("x")).select("doc_id", "x.*")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score bigint, share double")
 
@@ -241,5 +243,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain an item."""
     for rows in _blocks(benchmark):
-        docs = docs.filter(F.size(leak_column(F.col("text"), choose_seeds(docs, rows))) == 0)
+        docs = docs.filter(F.size(leak_column(F.col("text"), choose_seeds(docs, rows), docs.sparkSession)) == 0)
     return docs
