@@ -38,7 +38,7 @@ LEAST = 2
 DISCOUNT = 0.75
 PIECE = 64
 #: Tokens of a group of texts; a longer text is a group of its own.
-GROUP = 600_000
+GROUP = 700_000
 
 _END = np.uint64(0xE4D0F7E875000001)
 _BEGIN = np.uint64(0x9B1A6C03D7F2E845)
@@ -105,14 +105,16 @@ def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, bytes]]:
-    """(ids, blob of held out?, sizes, vocabulary, index of each token) of groups of texts."""
+    """(ids, blob of held out?, sizes, vocabulary, its counts, rank of each token's word by count) of groups of texts; ranks take less room than places."""
     ids: list[pa.Array] = []
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> tuple[pa.Array, bytes]:
         out, sizes, h = (np.concatenate(x) for x in zip(*held))
-        vocabulary, index = np.unique(h, return_inverse=True)
-        group = pa.concat_arrays(ids), pack(out.astype(np.uint8), sizes, vocabulary, index.astype(np.uint32))
+        vocabulary, index, times = np.unique(h, return_inverse=True, return_counts=True)
+        rank = np.empty(len(times), np.uint32)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
+        group = pa.concat_arrays(ids), pack(out.astype(np.uint8), sizes, vocabulary, times.astype(np.uint32), rank[index])
         ids.clear()
         held.clear()
         return group
@@ -126,6 +128,11 @@ def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         yield flush()
 
 
+def _places(times: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Places in the vocabulary of tokens given by rank."""
+    return np.argsort(-times.astype(np.int64), kind="stable")[ranked]
+
+
 @dataclass
 class Automaton:
     """States 0 (root), 1 + word for each frequent word and the start of a text, then one for each bigram arc.
@@ -274,7 +281,8 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
         """A group's words and bigrams with their training counts."""
         for b in batches:
             for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out, sizes, vocabulary, index = unpack(x)
+                out, sizes, vocabulary, times, ranked = unpack(x)
+                index = _places(times, ranked)
                 train = np.repeat(out == 0, sizes)
                 keys, place = np.unique(Grams(vocabulary, index, sizes).two, return_inverse=True)
                 yield from asked(f, (vocabulary, np.bincount(index[train], minlength=len(vocabulary)).astype(np.uint32)), (keys, np.bincount(place[train], minlength=len(keys)).astype(np.uint32)))
@@ -283,7 +291,8 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
         """A group's trigrams that may be arcs with their training counts."""
         for b in batches:
             for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out, sizes, vocabulary, index, _, arcs = unpack(x)
+                out, sizes, vocabulary, times, ranked, _, arcs = unpack(x)
+                index = _places(times, ranked)
                 at, keys, place = Grams(vocabulary, index, sizes).threes(arcs >> 1)
                 train = np.repeat(out == 0, sizes)[at]
                 yield from asked(f, (keys, np.bincount(place[train], minlength=len(keys)).astype(np.uint32)))
@@ -316,20 +325,22 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     def know_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups with the counts of their words and, for each token, twice that of its bigram; one more at one token of each bigram that the group owns."""
-        for f, (out, sizes, vocabulary, index), ids, answers in groups_of(batches):
+        for f, (out, sizes, vocabulary, times, ranked), ids, answers in groups_of(batches):
+            index = _places(times, ranked)
             words, arcs = (np.concatenate(x) for x in zip(*answers))
             _, first, place = np.unique(Grams(vocabulary, index, sizes).two, return_index=True, return_inverse=True)
             each = arcs[place] & ~1
             each[first] |= arcs & 1
-            yield own(f, pack(out, sizes, vocabulary, index, words, each), ids)
+            yield own(f, pack(out, sizes, vocabulary, times, ranked, words, each), ids)
 
     known = written(met(twos, groups).mapInArrow(releasing(know_twos), schema), clean=True)
     discard(twos, groups)
     threes = counted(known, ask_threes)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores without failure weights; by shard, the histories whose weights are missing or whose arcs the group owns, with the arcs' counts there and one word shorter, and their number."""
-        for f, (out, sizes, vocabulary, index, words, arcs), ids, answers in groups_of(batches):
+        """Scores without failure weights, with the places of those missing, ascending in each row, as differences; by shard, the histories whose weights are missing or whose arcs the group owns, with the arcs' counts there and one word shorter, and their number."""
+        for f, (out, sizes, vocabulary, times, ranked, words, arcs), ids, answers in groups_of(batches):
+            index = _places(times, ranked)
             g = Grams(vocabulary, index, sizes)
             c, c2, c3 = words[index], arcs >> 1, np.zeros(len(index), np.int64)
             at, _, place = g.threes(c2)
@@ -352,16 +363,20 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
             whole, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             whole[place] = np.concatenate([before[fails1], before2[fails2], before[own2], before2[own3]])
             last[place] = np.concatenate([0 * before[fails1], before[fails2], 0 * before[own2], before[own3]])
-            order = np.argsort(need, kind="stable")
+            asked = np.zeros(len(keys), bool)
+            asked[place[: len(need)]] = True
+            to = np.cumsum(asked) - 1  # place among the histories asked for
+            mine = to[place[: len(need)]].astype(np.uint32)
+            order = np.lexsort((mine, need))
             log1 = np.log10(p1)
             with np.errstate(divide="ignore"):
                 score = np.where(c3 > 0, np.log10(p3), np.where(c2 > 0, np.log10(p2), log1))
             of_rows = [np.bincount(row_of, x, len(sizes)) for x in (c > 0, log1, score)]
-            yield own(f, pack(out, sizes, *of_rows, place[: len(need)][order].astype(np.uint32), np.bincount(need, minlength=len(sizes)).astype(np.uint32), whole, last), ids)
+            yield own(f, pack(out, sizes, *of_rows, np.diff(mine[order], prepend=np.uint32(0)), np.bincount(need, minlength=len(sizes)).astype(np.uint32), whole[asked], last[asked]), ids)
             e = edges(keys, bits)
             for s in np.flatnonzero(np.diff(e)):
                 q = slice(e[s], e[s + 1])
-                yield pa.RecordBatch.from_arrays([*row(f, int(s), pack(keys[q], *(x[q] for x in sums))).columns, pa.array([None], pa.list_(ids.type))], names)
+                yield pa.RecordBatch.from_arrays([*row(f, int(s), pack(keys[q], asked[q].astype(np.uint8), *(x[q] for x in sums))).columns, pa.array([None], pa.list_(ids.type))], names)
 
     both = written(met(threes, known).mapInArrow(releasing(traverse), schema), clean=True)
     discard(threes, known)
@@ -370,10 +385,10 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
         """The sums over all arcs of each history that a group of texts asked for, in its order."""
         for s, asking, sent in shards(batches):
             keys, place = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-            sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(keys)).astype(np.int64)[place] for k in (1, 2, 3)]
+            sums = [np.bincount(place, np.concatenate([x[k] for x in sent]), len(keys)).astype(np.int64)[place] for k in (2, 3, 4)]
             a = 0
             for f, x in zip(asking, sent):
-                yield row(f, s, pack(*(y[a : a + len(x[0])] for y in sums)))
+                yield row(f, s, pack(*(y[a : a + len(x[0])][x[1] > 0] for y in sums)))
                 a += len(x[0])
 
     sums = both.filter("shard >= 0").select(*names[:3]).repartition(parts, "shard").mapInArrow(releasing(add), plain)
@@ -386,7 +401,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
             high, low, arcs = (np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(3))
             seen = (high - DISCOUNT * arcs) / np.maximum(whole, 1)
             lower = np.where(last > 0, (low - DISCOUNT * arcs) / np.maximum(last, 1), (low + 0.5 * arcs) / norm)
-            weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))[place]
+            weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))[np.cumsum(place, dtype=np.uint32)]
             score = score + np.bincount(np.repeat(np.arange(len(times)), times), weight, len(times))
             yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], of_text.names)
 
