@@ -19,7 +19,8 @@ _PLANS = {
     "Range", "UnresolvedTableValuedFunction", "LateralJoin", "Pivot", "Unpivot", "BaseGroupingSets", "Tail",
 }
 _FUNCTIONS = set(
-    """abs acos add_months any any_value approx_count_distinct array array_contains array_distinct array_join array_max array_min array_position array_size array_sort array_union
+    """between ilike div mod negative positive
+    abs acos add_months any any_value approx_count_distinct array array_contains array_distinct array_join array_max array_min array_position array_size array_sort array_union
     asin atan avg bool_and bool_or cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if covar_pop covar_samp cume_dist
     current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees dense_rank element_at endswith every
     exists exp extract factorial filter first first_value flatten floor format_number forall from_json from_unixtime get_json_object greatest hour if ifnull initcap instr isnan isnotnull isnull

@@ -7,6 +7,8 @@ GOOD = [
     "WITH c AS (SELECT id FROM tool_t WHERE id IN (SELECT id FROM tool_t)) SELECT max(id), row_number() OVER (ORDER BY id) FROM c GROUP BY id HAVING sum(id) > 0 ORDER BY 1 LIMIT 3",
     "SELECT * FROM VALUES (1, 2) v(a, b) JOIN tool_t ON a = id",
     "SELECT x FROM tool_t LATERAL VIEW explode(array(1, 2)) e AS x",
+    "SELECT -id, id % 2, id div 2, 'a' || id, id & 1, ~id, extract(year FROM date '2024-01-01'), position('a' IN 'ba'), substring('abc' FROM 2), trim(BOTH ' ' FROM ' a ') FROM tool_t WHERE id BETWEEN 1 AND 3 AND NOT id IN (7) AND 'a' LIKE 'a%' AND 'a' ILIKE 'A' AND id IS NOT NULL AND id <=> id AND 'x' RLIKE 'x' AND 'ab' LIKE ANY ('a%', 'b%')",
+    "SELECT count(DISTINCT id), sum(id) FILTER (WHERE id > 1), CAST(id AS string), array(1, 2)[0], map('a', 1)['a'], current_date, ceil(1.5) FROM tool_t GROUP BY ROLLUP (id)",
     "SELECT CASE WHEN EXISTS (SELECT 1 FROM tool_t) THEN id END, id::string FROM tool_t UNION ALL SELECT 1, '2'",
 ]
 BAD = [
