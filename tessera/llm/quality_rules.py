@@ -80,8 +80,6 @@ def text_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None
     stops = ", ".join("'" + w + "'" for w in dict.fromkeys([*STOP_WORDS, *map(str.capitalize, STOP_WORDS)]))
     keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     held = [f"_c{i}" for i in range(len(carry))]
-    # Always 0, but not foldable: a filter on the result isn't copied into the projections below, where each use would split the text again.
-    zero = "CAST(floor(rand(0)) AS BIGINT)"
     x = docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     x = x.selectExpr(
         *held, "_t",
@@ -91,19 +89,20 @@ def text_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None
     x = x.selectExpr(*held, "_t", "_w", "_l", "size(_w) AS _n", "CASE WHEN size(_w) < 3 THEN array() ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END AS _h")
     x = x.selectExpr(*held, "_t", "_w", "_l", "_n", "CASE WHEN size(array_distinct(_h)) = size(_h) THEN NULL ELSE sort_array(transform(_h, (h, i) -> struct(h, i))) END AS _s")
     x = x.selectExpr(*held, "_t", "_w", "_l", "_n", "filter(_s, (x, k) -> get(_s, k - 1).h <=> x.h OR get(_s, k + 1).h <=> x.h) AS _d")
-    x = x.selectExpr(
-        *held,
-        f"_n + {zero} AS n_words",
-        "CAST(length(array_join(_w, '')) AS BIGINT) AS word_chars",
-        f"CAST(length(_t) - length(regexp_replace(_t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols",
-        f"size(_l) + {zero} AS n_lines",
-        "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT) AS n_dup_lines",
-        "CAST(coalesce(size(array_distinct(flatten(transform(_d, x -> array(x.i, x.i + 1, x.i + 2))))), 0) AS BIGINT) AS n_repeat_words",
-        f"CAST(size(filter(_w, w -> w IN ({stops}))) AS BIGINT) AS n_stop_words",
-        "CAST(length(_t) - length(regexp_replace(_t, '[A-Z]+', '')) AS BIGINT) AS n_upper",
-        "CAST(size(filter(_l, l -> l rlike '^ *[-*•]')) AS BIGINT) AS n_bullet_lines",
-        "CAST(size(filter(_l, l -> l rlike '(\\\\.\\\\.\\\\.|…)$')) AS BIGINT) AS n_ellipsis_lines",
-    )
+    statistics = {
+        "n_words": "CAST(_n AS BIGINT)",
+        "word_chars": "CAST(length(array_join(_w, '')) AS BIGINT)",
+        "n_symbols": f"CAST(length(_t) - length(regexp_replace(_t, '{SYMBOLS}', '')) AS BIGINT)",
+        "n_lines": "CAST(size(_l) AS BIGINT)",
+        "n_dup_lines": "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT)",
+        "n_repeat_words": "CAST(coalesce(size(array_distinct(flatten(transform(_d, x -> array(x.i, x.i + 1, x.i + 2))))), 0) AS BIGINT)",
+        "n_stop_words": f"CAST(size(filter(_w, w -> w IN ({stops}))) AS BIGINT)",
+        "n_upper": "CAST(length(_t) - length(regexp_replace(_t, '[A-Z]+', '')) AS BIGINT)",
+        "n_bullet_lines": "CAST(size(filter(_l, l -> l rlike '^ *[-*•]')) AS BIGINT)",
+        "n_ellipsis_lines": "CAST(size(filter(_l, l -> l rlike '(\\\\.\\\\.\\\\.|…)$')) AS BIGINT)",
+    }
+    # One row a text: a filter on a statistic stays above the generator, as in the projections below each use would split the text again; one on a carried column passes it.
+    x = x.selectExpr(*held, f"inline(array(named_struct({', '.join(f"'{n}', {e}" for n, e in statistics.items())})))")
     ratios = {
         "mean_word_chars": _per("word_chars", "n_words"), "symbol_ratio": _per("n_symbols", "n_words"), "stop_ratio": _per("n_stop_words", "n_words"),
         "dup_line_ratio": _per("n_dup_lines", "n_lines"), "repeat_ratio": _per("n_repeat_words", "n_words"),

@@ -414,3 +414,14 @@ def test_pipeline(spark, tmp_path):
     assert sorted(x.doc_id for x in left.collect()) == list(range(120))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 1.3 * 120 <= len(out) <= 1.7 * 120 and {x.doc_id for x in out} <= set(range(120))
+
+
+def test_quality_rules_filters(spark, tmp_path):
+    """A filter on the id reaches the scan, one on a statistic stays above the statistics."""
+    from tessera.llm.quality_rules import quality_rules
+
+    spark.createDataFrame([(1, "a b c a b c"), (2, None), (3, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    x = quality_rules(spark.read.parquet(str(tmp_path / "d"))).filter("doc_id < 3 AND n_words > 1")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(doc_id,3)" in plan and "rand(" not in plan
+    assert [(r.doc_id, r.n_words, r.n_repeat_words) for r in x.collect()] == [(1, 6, 6)]
