@@ -88,32 +88,32 @@ def vault_files(s, d):
 def _stored(s: SparkSession, d: str) -> DataFrame:
     """The documents as stored, written to and read from folders by source."""
     folder = f"{_scratch(s)}/documents"
-    x = table(s, d, "documents").select(F.when(F.col("source") == "web", "custom-documents").otherwise(F.col("source")).alias("folder"), F.concat(F.lit("d"), (F.col("doc_id") % 400).cast("string")).alias("name"), "doc_id", F.col("text").alias("pageContent"))
+    x = table(s, d, "documents").select(F.when(F.col("source") == "src0", "custom-documents").otherwise(F.col("source")).alias("folder"), F.concat(F.lit("d"), (F.col("doc_id") % 400).cast("string")).alias("name"), "doc_id", F.col("text").alias("pageContent"))
     files.write_documents(x, folder)
     return s.read.parquet(folder)
 
 
-@query("SELECT doc_id, CASE WHEN source = 'web' THEN 'custom-documents' ELSE source END AS folder, source = 'web' AS own FROM documents ORDER BY 3 DESC, 2")
+@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'custom-documents' ELSE source END AS folder, source = 'src0' AS own FROM documents ORDER BY 3 DESC, 2")
 def stored_documents(s, d):
     return files.stored(_stored(s, d)).orderBy(F.desc("own"), "folder").select("doc_id", "folder", "own")
 
 
-@query("SELECT count(*) AS n, min(doc_id) AS first, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE source = (SELECT min(source) FROM documents WHERE source <> 'web')")
+@query("SELECT count(*) AS n, min(doc_id) AS first, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE source = (SELECT min(source) FROM documents WHERE source <> 'src0')")
 def folder_listing(s, d):
     x = _stored(s, d)
     least = x.filter("folder != 'custom-documents'").agg(F.min("folder").alias("folder"))
     return x.join(F.broadcast(least), "folder", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.sum(F.length("pageContent")).alias("chars"))
 
 
-@query("SELECT CASE WHEN source = 'web' THEN 'custom-documents' ELSE source END AS folder FROM documents WHERE doc_id % 400 = 17 ORDER BY 1 LIMIT 1")
+@query("SELECT CASE WHEN source = 'src0' THEN 'custom-documents' ELSE source END AS folder FROM documents WHERE doc_id % 400 = 17 ORDER BY 1 LIMIT 1")
 def document_by_name(s, d):
     return files.found_by_name(_stored(s, d), "d17").select("folder")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'new' ELSE source END AS folder, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 <> 0 END AS moved FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'de' AND n_chars <= 5000 THEN 'new' ELSE source END AS folder, CASE WHEN lang = 'de' THEN n_chars <= 5000 END AS moved FROM documents")
 def moved_files(s, d):
-    x = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("folder"), "doc_id")
-    out = files.moved(x, x.filter("doc_id % 3 = 0").select("name", F.lit("new").alias("folder")), x.filter("doc_id % 5 = 0"))
+    x = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("folder"), "doc_id", "lang", "n_chars")
+    out = files.moved(x, x.filter("lang = 'de'").select("name", F.lit("new").alias("folder")), x.filter("n_chars > 5000"))
     return out.select(F.col("name").cast("bigint").alias("doc_id"), "folder", "moved")
 
 
@@ -162,11 +162,11 @@ def crawled_site(s, d):
     return pages.crawl(p.unionByName(s.createDataFrame([(-1, start, one.html)], p.schema)), start, depth=2, most=5)
 
 
-@query("SELECT url, length(html) AS n FROM pages WHERE page_id % 10 = 3")
+@query("SELECT url, length(html) AS n FROM pages")
 def scraped_pages(s, d):
     p = table(s, d, "pages")
-    x = pages.scraped(p, p.filter("page_id % 10 = 3"))
-    return p.filter("page_id % 10 = 3").join(x.select("url").distinct(), "url", "left_semi").select("url", F.length("html").cast("long").alias("n"))
+    x = pages.scraped(p, p)
+    return p.join(x.select("url").distinct(), "url", "left_semi").select("url", F.length("html").cast("long").alias("n"))
 
 
 @query("""SELECT page_id, trim(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '&lt;', '<'), chr(10) || ' ') AS title FROM pages""")
@@ -190,21 +190,21 @@ def name_ids(s, d):
     return table(s, d, "pages").select("page_id", store.name_uuid(F.col("url")).alias("id"))
 
 
-@query("SELECT doc_id, length(text) > 0 AS has_chunks, CASE WHEN length(text) > 0 THEN 1.0 END AS norm, text <> '' AND doc_id % 4 = 0 AS cached FROM documents")
+@query("SELECT doc_id, length(text) > 0 AS has_chunks, CASE WHEN length(text) > 0 THEN 1.0 END AS norm, text <> '' AND lang = 'en' AS cached FROM documents")
 def vectorized_documents(s, d):
     """Documents whose location is in the cache are taken from there, the others split and embedded."""
-    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("location"), "text")
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("location"), "text", "lang")
     encode = store.hashing_encoder(16)
-    cache = store.vectorized(docs.filter("doc_id % 4 = 0"), None, encode).select("key", "chunk_ix", F.lit("cached").alias("chunk"), "vector")
+    cache = store.vectorized(docs.filter("lang = 'en'"), None, encode).select("key", "chunk_ix", F.lit("cached").alias("chunk"), "vector")
     x = store.vectorized(docs, cache, encode)
     x = x.groupBy("doc_id").agg(F.round(F.max(vector.norm(F.col("vector"))), 6).alias("norm"), F.max(F.col("chunk") == "cached").alias("cached"))
     return docs.select("doc_id").join(x, "doc_id", "left").select("doc_id", F.col("norm").isNotNull().alias("has_chunks"), F.when(F.col("norm") > 0, F.col("norm")).alias("norm"), F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN text = '' OR doc_id % 7 = 0 THEN 'failed' ELSE 'embedded' END AS status FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN 'missing' WHEN text = '' OR source = 'src0' THEN 'failed' ELSE 'embedded' END AS status FROM documents")
 def embedding_report(s, d):
     x = table(s, d, "documents")
-    return store.added_report(x.select("doc_id"), x.filter("doc_id % 7 != 0 AND text != ''").select("doc_id"), x.filter("doc_id % 6 != 0"))
+    return store.added_report(x.select("doc_id"), x.filter("source != 'src0' AND text != ''").select("doc_id"), x.filter("lang != 'de'"))
 
 
 @query("SELECT conv_id AS request_id, CAST(turn AS INTEGER) AS index FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE text = '')")
@@ -213,14 +213,14 @@ def embeddings_request(s, d):
     return store.embeddings_of(c, store.hashing_encoder(8)).select("request_id", "index")
 
 
-@query("SELECT CAST(label AS VARCHAR) AS namespace, vec_id AS doc_id FROM embeddings WHERE vec_id % 3 <> 0 AND label <> 2 UNION ALL SELECT 'later', vec_id FROM embeddings WHERE vec_id % 50 = 7")
+@query("SELECT CAST(label AS VARCHAR) AS namespace, vec_id AS doc_id FROM embeddings WHERE label NOT IN (1, 2) UNION ALL SELECT 'later', vec_id FROM embeddings WHERE label = 3")
 def vector_store(s, d):
     """Two appends, a removal by document and one of a namespace."""
     rows = vectors(s, d).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("id"), F.col("namespace").cast("string").alias("namespace"), "vector")
     kept = store.VectorStore(s, _scratch(s))
     kept.add(rows)
-    kept.delete(rows.filter("doc_id % 3 = 0"))
-    kept.add(rows.filter("doc_id % 50 = 7").withColumn("namespace", F.lit("later")))
+    kept.delete(rows.filter("namespace = '1'"))
+    kept.add(rows.filter("namespace = '3'").withColumn("namespace", F.lit("later")))
     kept.drop("2")
     return kept.rows().select(F.col("namespace").cast("string").alias("namespace"), "doc_id")
 

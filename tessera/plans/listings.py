@@ -20,9 +20,9 @@ def chats_with_embed_and_workspace(s, d):
     return x.select("o_orderkey", "username", "workspace")
 
 
-@query("SELECT event_id, coalesce(c_name, 'unknown user') AS username FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON user_id = c_custkey")
+@query("SELECT event_id, coalesce(c_name, 'unknown user') AS username FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey")
 def event_logs_with_user(s, d):
-    c = table(s, d, "customer").filter("c_custkey % 3 = 0")
+    c = table(s, d, "customer").filter("c_acctbal > 0")
     return listing.include(table(s, d, "events"), c, ("user_id", "c_custkey"), {"username": "c_name"}, {"username": "unknown user"}).select("event_id", "username")
 
 
@@ -34,18 +34,17 @@ def invites_with_users(s, d):
     return listing.include(x, c, ("creator", "c_custkey"), {"created_by": "c_name"}).select("event_id", "claimed_by", "created_by")
 
 
-@query("SELECT s_suppkey, n_name AS workspace, 'default' AS role FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 5")
+@query("SELECT s_suppkey, n_name AS workspace, 'default' AS role FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def workspace_user_details(s, d):
-    n = table(s, d, "nation").filter("n_nationkey < 5")
-    return listing.include(table(s, d, "supplier"), n, ("s_nationkey", "n_nationkey"), {"workspace": "n_name"}, how="inner").select("s_suppkey", "workspace", F.lit("default").alias("role"))
+    return listing.include(table(s, d, "supplier"), table(s, d, "nation"), ("s_nationkey", "n_nationkey"), {"workspace": "n_name"}, how="inner").select("s_suppkey", "workspace", F.lit("default").alias("role"))
 
 
-@query("""WITH d AS (SELECT doc_id, source AS name FROM documents), p AS (SELECT name, list_sort(list(DISTINCT doc_id % 7)) AS pinned FROM d WHERE doc_id % 11 = 0 GROUP BY name)
-SELECT d.doc_id, array_to_string(coalesce(p.pinned, []), ',') AS pinned, EXISTS (SELECT 1 FROM d x WHERE x.name = d.name AND x.doc_id % 97 = 5) AS watched, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND false) AS cached FROM d LEFT JOIN p USING (name)""")
+@query("""WITH d AS (SELECT doc_id, source AS name, lang, n_chars FROM documents), p AS (SELECT name, list_sort(list(DISTINCT doc_id % 7)) AS pinned FROM d WHERE lang = 'es' AND n_chars > 5000 GROUP BY name)
+SELECT d.doc_id, array_to_string(coalesce(p.pinned, []), ',') AS pinned, EXISTS (SELECT 1 FROM d x WHERE x.name = d.name AND x.lang = 'de' AND x.n_chars > 5000) AS watched, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND false) AS cached FROM d LEFT JOIN p USING (name)""")
 def documents_with_flags(s, d):
-    x = table(s, d, "documents").select("doc_id", F.col("source").alias("name"))
-    pinned = x.filter("doc_id % 11 = 0").select("name", (F.col("doc_id") % 7).alias("workspace_id"))
-    out = listing.document_flags(x, pinned, x.filter("doc_id % 97 = 5"), x.filter("false"))
+    x = table(s, d, "documents").select("doc_id", F.col("source").alias("name"), "lang", "n_chars")
+    pinned = x.filter("lang = 'es' AND n_chars > 5000").select("name", (F.col("doc_id") % 7).alias("workspace_id"))
+    out = listing.document_flags(x, pinned, x.filter("lang = 'de' AND n_chars > 5000"), x.filter("false"))
     return out.select("doc_id", F.array_join(F.transform("pinned", lambda v: v.cast("string")), ",").alias("pinned"), "watched", "cached")
 
 
@@ -62,9 +61,9 @@ def threads_found(s, d):
     return listing.include(x, table(s, d, "nation"), ("c_nationkey", "n_nationkey"), {"workspace": "n_name"}, how="inner").select("c_custkey", "thread", "workspace")
 
 
-@query("SELECT o_orderkey, c_name AS username FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 50 = 3 ORDER BY o_orderdate DESC")
+@query("SELECT o_orderkey, c_name AS username FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC")
 def prompt_history_with_user(s, d):
-    x = table(s, d, "orders").filter("o_custkey % 50 = 3")
+    x = table(s, d, "orders").filter("o_orderstatus = 'P'")
     return listing.include(x, table(s, d, "customer"), ("o_custkey", "c_custkey"), {"username": "c_name"}).orderBy(F.desc("o_orderdate")).select("o_orderkey", "username")
 
 
@@ -103,10 +102,10 @@ def conversation_between(s, d):
     return listing.exchanged(m, "S1", "S2").select("s_suppkey", "c_custkey")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE 'title:' || source || '-timestamp:' || CASE WHEN doc_id % 5 = 0 THEN lang END IS DISTINCT FROM 'title:web-timestamp:en'")
+@query("SELECT doc_id, lang FROM documents WHERE 'title:' || source || '-timestamp:' || CASE WHEN doc_id % 5 = 0 THEN lang END IS DISTINCT FROM 'title:src0-timestamp:en'")
 def pinned_by_identifier(s, d):
     x = table(s, d, "documents").withColumn("identifier", X.source_identifier(F.col("source"), F.when(F.col("doc_id") % 5 == 0, F.col("lang"))))
-    pins = s.range(1).select(X.source_identifier(F.lit("web"), F.lit("en")).alias("identifier"))
+    pins = s.range(1).select(X.source_identifier(F.lit("src0"), F.lit("en")).alias("identifier"))
     return x.join(pins, "identifier", "left_anti").select("doc_id", "lang")
 
 
@@ -209,11 +208,11 @@ def search_without_repeats(s, d):
     return table(s, d, "customer").filter(X.fuzzy_match(F.col("c_mktsegment"), "build")).select(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("name")).distinct()
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT r_name FROM region UNION ALL SELECT 'flow_' || s_suppkey FROM supplier WHERE s_suppkey < 3")
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT r_name FROM region UNION ALL SELECT 'flow_' || s_suppkey FROM supplier WHERE s_acctbal > 0")
 def agent_skills(s, d):
     n = table(s, d, "nation").withColumnRenamed("n_name", "name")
-    flows = table(s, d, "supplier").filter("s_suppkey < 3").select(F.concat(F.lit("flow_"), F.col("s_suppkey").cast("string")).alias("name"))
-    return listing.skills(n, n.filter("n_nationkey % 3 = 0"), table(s, d, "region").withColumnRenamed("r_name", "name"), flows)
+    flows = table(s, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("flow_"), F.col("s_suppkey").cast("string")).alias("name"))
+    return listing.skills(n, n.filter("n_regionkey = 0"), table(s, d, "region").withColumnRenamed("r_name", "name"), flows)
 
 
 @query("SELECT DISTINCT p_partkey AS doc_id, n_nationkey AS workspace_id FROM part JOIN nation ON lower(n_name) IN ('nation_' || p_size % 25, 'nation_' || p_size % 7)")
@@ -235,10 +234,10 @@ def edited_response(s, d):
     return x.select("event_id", J.value_at(F.col("j"), "k").alias("k"), J.value_at(F.col("j"), "['text']").alias("text"))
 
 
-@query("SELECT event_id, user_id AS thread FROM events UNION ALL SELECT event_id, 1000 + user_id FROM events WHERE event_id <= 500 AND event_id % 5 <> 0 AND event_id % 7 <> 0")
+@query("SELECT event_id, user_id AS thread FROM events UNION ALL SELECT event_id, 1000 + user_id FROM events WHERE event_id <= user_id * 100 AND event_id % 5 <> 0 AND event_id % 7 <> 0")
 def forked_thread(s, d):
     x = table(s, d, "events").select("event_id", F.col("user_id").alias("thread"), (F.col("event_id") % 5 != 0).alias("include"), F.when(F.col("event_id") % 7 == 0, "api").alias("api_session"))
-    return listing.forked(x, "thread", F.col("thread") + 1000, F.lit(500), "event_id").select("event_id", "thread")
+    return listing.forked(x, "thread", F.col("thread") + 1000, F.col("thread") * 100, "event_id").select("event_id", "thread")
 
 
 @query("SELECT s_nationkey AS workspace, s_suppkey AS member FROM supplier WHERE s_nationkey NOT IN (1, 2) UNION ALL SELECT n_nationkey, 7 FROM nation WHERE n_nationkey IN (1, 2)")
@@ -269,11 +268,11 @@ def renamed_threads(s, d):
     return listing.renamed_threads(c.filter("role = 'user'").select("thread_id", F.col("text").alias("prompt")), threads)
 
 
-@query("""SELECT filename, CASE WHEN old THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-08' END AS due FROM (SELECT source AS filename, bool_or(doc_id % 2 = 0) AS w, bool_or(doc_id % 9 = 0) AS old FROM documents GROUP BY source) WHERE w""")
+@query("""SELECT filename, CASE WHEN old THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-08' END AS due FROM (SELECT source AS filename, bool_or(n_chars > 20000) AS w, bool_or(lang = 'de' AND n_chars > 5000) AS old FROM documents GROUP BY source) WHERE w""")
 def watched_queue(s, d):
     x = table(s, d, "documents").withColumnRenamed("source", "filename")
-    queue = x.filter("doc_id % 9 = 0").select("filename").distinct().withColumn("due", F.lit("2024-01-01").cast("timestamp"))
-    return listing.toggled_watch(queue, x.select("filename", (F.col("doc_id") % 2 == 0).alias("watched")), F.lit("2024-02-01").cast("timestamp"))
+    queue = x.filter("lang = 'de' AND n_chars > 5000").select("filename").distinct().withColumn("due", F.lit("2024-01-01").cast("timestamp"))
+    return listing.toggled_watch(queue, x.select("filename", (F.col("n_chars") > 20000).alias("watched")), F.lit("2024-02-01").cast("timestamp"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'unwatch' WHEN doc_id % 10 = 2 THEN CASE WHEN doc_id % 7 >= 5 THEN 'unwatch' ELSE 'failed' END WHEN doc_id % 10 = 3 OR text = '' THEN CASE WHEN text = '' THEN CASE WHEN doc_id % 7 >= 5 THEN 'unwatch' ELSE 'failed' END ELSE 'success' END ELSE 'exited' END AS outcome FROM documents")

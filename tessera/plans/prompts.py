@@ -133,10 +133,9 @@ def query_refusals(s, d):
     return prompt.refused(requests, c.filter("turn >= 3"), vectors(s, d))
 
 
-@query("SELECT doc_id, lower(left(text, 5)) AS summary FROM documents WHERE length(text) < 9000")
+@query("SELECT doc_id, lower(left(text, 5)) AS summary FROM documents")
 def summaries(s, d):
-    x = table(s, d, "documents").filter(F.length("text") < 9000)
-    return prompt.summarised(x, lambda texts: [t[:5].lower() for t in texts])
+    return prompt.summarised(table(s, d, "documents"), lambda texts: [t[:5].lower() for t in texts])
 
 
 @query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS.format(a="e.embedding", b="q.embedding")} AS dist, 1 / (1 + exp(-10 * list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS x FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0),
