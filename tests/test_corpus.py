@@ -81,3 +81,10 @@ def test_cooldown_and_debounce(spark):
             before = t
     assert sorted(map(tuple, schedule.cooled_down(df, ["k"], "at", 7200).collect())) == sorted(cooled)
     assert sorted(x.id for x in schedule.debounced(df, ["k"], "at", 7200, "id").collect()) == sorted(first)
+
+
+def test_hashing_encoder_does_not_cancel():
+    from tessera.operators.store import hashing_encoder
+
+    norms = [float((v * v).sum()) for v in hashing_encoder(16)(["In. The.", "a b c", "", " "])]
+    assert [round(n, 9) for n in norms] == [1, 1, 0, 0]
