@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _all() -> None:
-    for name in ("listings", "prompts", "corpus"):
+    for name in ("listings", "prompts", "corpus", "imports"):
         import_module(f"{__package__}.{name}")
 
 

@@ -131,7 +131,7 @@ for _p in (r"(?is)<!--.*?-->", r"(?is)<head\b[^>]*>.*?</head\s*>", r"(?is)<scrip
 _TEXT = rf"regexp_replace({_TEXT}, '\s+', ' ', 'g')"
 _TEXT = rf"regexp_replace({_TEXT}, '(?i)</?({pages._BLOCK})\b[^>]*>', chr(10), 'g')"
 _TEXT = f"regexp_replace({_TEXT}, '<[^>]+>', '', 'g')"
-for _k, _v in pages._ENTITIES:
+for _k, _v in pages.ENTITIES:
     _TEXT = f"replace({_TEXT}, '{_k.replace(chr(39), chr(39) * 2)}', '{_v.replace(chr(39), chr(39) * 2)}')"
 _TEXT = rf"regexp_replace(regexp_replace({_TEXT}, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 

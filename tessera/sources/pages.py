@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _BLOCK = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 #: The character references that are decoded.
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
 
 def inner_text(page: Column) -> Column:
@@ -25,7 +25,7 @@ def inner_text(page: Column) -> Column:
     out = F.regexp_replace(out, r"\s+", " ")
     out = F.regexp_replace(out, rf"(?i)</?({_BLOCK})\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    for k, v in _ENTITIES:
+    for k, v in ENTITIES:
         out = F.replace(out, F.lit(k), F.lit(v))
     return F.regexp_replace(F.regexp_replace(out, r" *\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
