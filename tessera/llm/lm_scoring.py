@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packs import bits_for, edges, groups_of, pack, shards, unpack
+from .packs import bits_for, edges, kept, meet, pack, shards, unpack
 from .shared import discard, partitions_for, releasing, small_batches, written
 from .words import Words, mix, slices
 
@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField(*f) for f in [("flush", T.LongType()), ("shard", T.IntegerType()), ("blob", T.BinaryType()), ("ids", T.ArrayType(kind))]])
     names = [f.name for f in schema]
-    plain, no_ids = "flush bigint, shard int, blob binary", F.lit(None).cast(schema["ids"].dataType).alias("ids")
+    plain = "flush bigint, shard int, blob binary"
 
     def row(f: int, s: int, blob: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names[:3])
@@ -269,7 +269,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
         for k, (ids, blob) in enumerate(_gather(batches, group)):
             yield own((task << 32) + k, blob, ids)
 
-    groups = written(docs.mapInArrow(releasing(gather), schema), clean=True)
+    groups = kept(docs.mapInArrow(releasing(gather), schema), parts)
 
     def asked(f: int, *sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The rows with a group's ascending keys of each kind and what it knows of them, by shard."""
@@ -315,17 +315,14 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
     def counted(of: DataFrame, ask: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
         return written(of.select("flush", "blob").mapInArrow(releasing(ask), plain).repartition(parts, "shard").mapInArrow(releasing(count), plain + ", n bigint, v bigint"), clean=True)
 
-    def met(counts: DataFrame, groups: DataFrame) -> DataFrame:
-        return counts.select(*names[:3], no_ids).unionByName(groups).repartition(parts, "flush")
-
     twos = counted(groups, ask_twos)
     total = twos.agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
     norm = n + 0.5 * (v + 1)
 
-    def know_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def know_twos(met: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         """Groups with the counts of their words and, for each token, twice that of its bigram; one more at one token of each bigram that the group owns."""
-        for f, (out, sizes, vocabulary, times, ranked), ids, answers in groups_of(batches):
+        for f, (out, sizes, vocabulary, times, ranked), ids, answers in met:
             index = _places(times, ranked)
             words, arcs = (np.concatenate(x) for x in zip(*answers))
             _, first, place = np.unique(Grams(vocabulary, index, sizes).two, return_index=True, return_inverse=True)
@@ -333,13 +330,13 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
             each[first] |= arcs & 1
             yield own(f, pack(out, sizes, vocabulary, times, ranked, words, each), ids)
 
-    known = written(met(twos, groups).mapInArrow(releasing(know_twos), schema), clean=True)
+    known = kept(meet(groups, twos, know_twos, schema), parts)
     discard(twos, groups)
     threes = counted(known, ask_threes)
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def traverse(met: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         """Scores without failure weights, with the places of those missing, ascending in each row, as differences; by shard, the histories whose weights are missing or whose arcs the group owns, with the arcs' counts there and one word shorter, and their number."""
-        for f, (out, sizes, vocabulary, times, ranked, words, arcs), ids, answers in groups_of(batches):
+        for f, (out, sizes, vocabulary, times, ranked, words, arcs), ids, answers in met:
             index = _places(times, ranked)
             g = Grams(vocabulary, index, sizes)
             c, c2, c3 = words[index], arcs >> 1, np.zeros(len(index), np.int64)
@@ -378,7 +375,7 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 q = slice(e[s], e[s + 1])
                 yield pa.RecordBatch.from_arrays([*row(f, int(s), pack(keys[q], asked[q].astype(np.uint8), *(x[q] for x in sums))).columns, pa.array([None], pa.list_(ids.type))], names)
 
-    both = written(met(threes, known).mapInArrow(releasing(traverse), schema), clean=True)
+    both = kept(meet(known, threes, traverse, schema), parts)
     discard(threes, known)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,12 +389,11 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 a += len(x[0])
 
     sums = both.filter("shard >= 0").select(*names[:3]).repartition(parts, "shard").mapInArrow(releasing(add), plain)
-    meet = sums.select("*", no_ids).unionByName(both.filter("shard < 0")).repartition(parts, "flush")
     of_text = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(met: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         """Each group's sums with the failure weights on the way."""
-        for _, (out, tokens, known, base, score, place, times, whole, last), ids, answers in groups_of(batches):
+        for _, (out, tokens, known, base, score, place, times, whole, last), ids, answers in met:
             high, low, arcs = (np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(3))
             seen = (high - DISCOUNT * arcs) / np.maximum(whole, 1)
             lower = np.where(last > 0, (low - DISCOUNT * arcs) / np.maximum(last, 1), (low + 0.5 * arcs) / norm)
@@ -405,4 +401,4 @@ def score_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
             score = score + np.bincount(np.repeat(np.arange(len(times)), times), weight, len(times))
             yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], of_text.names)
 
-    return meet.mapInArrow(releasing(finish), of_text).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return meet(both.filter("shard < 0"), sums, finish, of_text).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -14,9 +14,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
-from .shared import releasing
+from .shared import releasing, written
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: Entries that a task gathers before it sends them.
@@ -118,3 +119,19 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
     for f in sorted(own):
         x, ids = own.pop(f)
         yield f, unpack(x), ids, [unpack(y) for _, y in sorted(answers.pop(f, []), key=lambda y: y[0])]
+
+
+def kept(groups: DataFrame, buckets: int) -> DataFrame:
+    """A table of groups, written in buckets where :func:`meet` finds them."""
+    return written(groups, clean=True, by="flush", buckets=buckets)
+
+
+def meet(own: DataFrame, answers: DataFrame, use: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """What ``use`` makes of each group in own rows of :func:`kept`, with its answers by shard; only the answers are shuffled."""
+
+    def one(mine: pa.Table, sent: pa.Table) -> pa.Table:
+        f, blob, ids = mine["flush"][0].as_py(), mine["blob"][0].as_py(), mine["ids"].chunk(0)[0].values
+        of_shards = sorted(zip(sent["shard"].to_pylist(), sent["blob"].to_pylist()), key=lambda r: r[0])
+        return pa.Table.from_batches(releasing(use)(iter([(f, unpack(blob), ids, [unpack(x) for _, x in of_shards])])))
+
+    return own.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(one, schema)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _paths: list[str] = []
+#: Names of the tables that are known to the session, by path.
+_names: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,32 +32,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, clean: bool = False) -> DataFrame:
+def written(df: DataFrame, clean: bool = False, by: str | None = None, buckets: int = 0) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts its lineage: a lost executor costs a read, not a recomputation.
-    With ``clean``, what was shuffled for it goes at once.  The table goes when
-    :func:`discard` or :func:`discard_since` says so, or when the driver's JVM ends.
+    With ``clean``, what was shuffled for it goes at once.  With ``by`` it lies in
+    ``buckets`` by that column, so that what is grouped by it is not shuffled.
+    The table goes when :func:`discard` or :func:`discard_since` says so, or when
+    the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    name = f"tessera_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name.replace('_', '-')}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(key)
     if clean:
         spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        if by is None:
+            df.write.parquet(path)
+        else:
+            most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+            df.write.format("parquet").bucketBy(min(buckets, most), by).option("path", path).saveAsTable(name)
+            _names[path] = name
     finally:
         spark.conf.set(key, was)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     _paths.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if by is None else spark.table(name)
     out._tessera_path = path
     return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
