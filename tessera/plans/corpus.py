@@ -190,7 +190,7 @@ def name_ids(s, d):
     return table(s, d, "pages").select("page_id", store.name_uuid(F.col("url")).alias("id"))
 
 
-@query("SELECT doc_id, length(text) > 0 AS has_chunks, CASE WHEN length(text) > 0 THEN 1.0 END AS norm, text <> '' AND lang = 'en' AS cached FROM documents")
+@query("SELECT doc_id, length(text) > 0 AS has_chunks, CASE WHEN length(text) > 0 THEN CAST(1 AS DOUBLE) END AS norm, text <> '' AND lang = 'en' AS cached FROM documents")
 def vectorized_documents(s, d):
     """Documents whose location is in the cache are taken from there, the others split and embedded."""
     docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("location"), "text", "lang")
